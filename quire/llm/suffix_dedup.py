@@ -67,7 +67,7 @@ def _spans(s: Stretches):
 
 
 def later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Documents with later copies: doc_id, removed (ranges of words), words_removed, sources (ids that hold earlier copies)."""
+    """Documents with later copies: doc_id, removed (ranges of words), words_removed, sources (ids that hold earlier copies; a null id is left out)."""
     spans = segments(shield(docs), length).mapInArrow(by_shard(_spans, length), "doc_id bigint, text_hash int, start int, end int, source bigint")
     rows = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set(null_id(F.col("source")))).alias("sources"))
     rows = rows.select("doc_id", union_of("spans").alias("removed"), "sources")

@@ -8,8 +8,8 @@ The model is fitted in one task on at most ``MAX_ROWS`` labelled documents, the
 every fifth of them is held out, and the threshold is the score that does best (F1) on those.  Scoring is a
 scan of all documents without a shuffle.
 
-Cases: null and empty texts have no features, so their score is the intercept's; a label that is null is
-no label; a document with several labels is toxic if any says so; repeated documents are each scored;
+Cases: null and empty texts, and any without a word, are not toxic; nor is one whose words all have no
+weight (the threshold stays above the intercept); a label that is null is no label; a document with several labels is toxic if any says so; repeated documents are each scored;
 without labels every score is 0.5 and nothing is toxic; extra columns stay.
 """
 
@@ -83,7 +83,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
         if f1 > best:
             lower = scores[scores < t]
             cut, best = (float(t + lower.max()) / 2 if len(lower) else float(t)), f1
-    return w[:DIMS], float(w[DIMS]), cut
+    return w[:DIMS], float(w[DIMS]), max(cut, float(w[DIMS]) + 1e-6)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -124,7 +124,9 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tupl
         used = table != 0
         texts, out = K.as_strings(texts), np.full(len(texts), intercept)
         for lo, hi in K.chunks(texts):
-            docs, feats = features(K.tokenize(texts, lo, hi))
+            tokens = K.tokenize(texts, lo, hi)
+            out[lo:hi][np.diff(tokens.offsets) == 0] = -np.inf
+            docs, feats = features(tokens)
             hit = used[feats]
             both = np.unique((docs[hit].astype(np.int64) << BITS) | feats[hit])
             out[lo:hi] += np.bincount(both >> BITS, table[both & (DIMS - 1)], hi - lo)
