@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import BROADCAST_BYTES, Shield, stored
+from quire.llm.common import Shield, release, stored
 
 LENGTH = 50
 K_WORDS = 16
@@ -67,9 +67,7 @@ def segments(sealed: Shield, length: int = LENGTH) -> DataFrame:
     marks = rows.mapInArrow(_mark(length), "key bigint, doc_id bigint, text_hash int, first int, last int")
     marks = marks.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     spots = stored(marks.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "key")).alias("spots")))
-    size = spots.agg(F.sum(F.size("spots") * 24 + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        spots = F.broadcast(spots)
+    release(sealed.rows.sparkSession)
     found = rows.join(spots, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spots")
     return found.mapInArrow(_cut(length), SEGMENT).repartition("key").sortWithinPartitions("key")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import BROADCAST_BYTES, null_id, shield, stored
+from quire.llm.common import null_id, release, shield, stored
 from quire.llm.decontaminate import retexted
 from quire.llm.passages import LENGTH, Stretches, by_shard, segments, union_of, without
 
@@ -99,9 +99,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their own columns and the later occurrences cut (n_chars, if there, set anew)."""
     sealed = shield(docs)
     gone = stored(_found(docs, length).where(F.size("removed") > 0).select(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash"), "removed"))
-    size = gone.agg(F.sum(F.size("removed") * 16 + 48)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
+    release(docs.sparkSession)
     rows = sealed.rows.withColumns({"q_id": sealed.key("doc_id"), "q_hash": sealed.key("text_hash")}).join(gone, ["q_id", "q_hash"], "left")
     rows = rows.withColumn("q_text", F.when(F.col("removed").isNotNull(), without(sealed.col("text"), F.col("removed"))))
     return retexted(sealed, rows, F.col("q_text"))
