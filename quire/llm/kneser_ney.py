@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, null_id, release, shield, stored
+from quire.llm.common import Shield, null_id, release, small, stored
 
 VOCABULARY = 65_534  # ids 1..; 0 is the unknown word and 65535 the start of a text
 START = 65_535
@@ -227,7 +227,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A stored table (doc_id, text_hash, lang, held, perplexity); held: kept out of training though trusted."""
     sealed = Shield(docs, doc_id="bigint", text="string", lang="string")
     good = stored(trusted(docs, labels))
-    texts = sealed.picked().where("doc_id IS NOT NULL").join(good.where("NOT held"), "doc_id").select("text")
+    chosen = small(good.where("NOT held").select("doc_id"), 16)  # few enough are sent to the texts, more meet them by a shuffle
+    texts = sealed.picked().where("doc_id IS NOT NULL").join(chosen, "doc_id").select("text")
     tables, counts, total = train(texts)
     release(docs.sparkSession)
     sizes = perplexity(sealed.keyed(), tables, counts, max(8, math.ceil(total / SHARD_WORDS) * 4))
