@@ -41,6 +41,10 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + "".join(out)
 
 
+def _has_code(code: str):
+    return lambda s: s["code"] == code
+
+
 @dataclass(frozen=True)
 class FieldQuery:
     """Tag, indicators and required codes; what is not set matches anything."""
@@ -74,7 +78,7 @@ class FieldQuery:
     def test(self, f: Column) -> Column:
         tests = self._tag_test(f["tag"])
         tests += [f[n] == v for n, v in (("ind1", self.ind1), ("ind2", self.ind2)) if v is not None]
-        tests += [F.exists(f["subfields"], lambda s, c=c: s["code"] == c) for c in self.codes]
+        tests += [F.exists(f["subfields"], _has_code(c)) for c in self.codes]
         return _all(tests)
 
     def where_long(self, long: DataFrame) -> DataFrame:
@@ -176,12 +180,12 @@ def _all(tests: list[Column]) -> Column:
 
 def matching(query: Query, fields: str | Column = "fields") -> Column:
     """The record's fields that match, in the record's order."""
-    return F.filter(fields, query.test)
+    return F.filter(fields, lambda f: query.test(f))
 
 
 def any_field(query: Query, fields: str | Column = "fields") -> Column:
     """Whether a record has a field that matches."""
-    return F.exists(fields, query.test)
+    return F.exists(fields, lambda f: query.test(f))
 
 
 def records_with(records: DataFrame, long: DataFrame, query: Query) -> DataFrame:

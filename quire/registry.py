@@ -1,6 +1,422 @@
-"""Queries and their SQL, by name."""
+"""Queries over records derived from the driver's tables, and their SQL over those tables themselves."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire import testkit
+from quire.functions import access as A
+from quire.functions import codecs as C
+from quire.functions import expr as E
+from quire.functions import scalars as S
+from quire.functions import validate as V
+from quire.operators import edit as X
+from quire.operators import link as L
+from quire.plans import dsl as D
+from quire.plans.long import from_long, to_long
+from quire.sources import iso2709 as I
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_KINDS = {"bib": (testkit.bib, "part", "p_partkey"), "authority": (testkit.authority, "customer", "c_custkey"), "holdings": (testkit.holdings, "supplier", "s_suppkey")}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+#: kind, name, value and SQL of the queries that give one value for each record
+EACH: list[tuple[str, str, Callable[[], Column], str]] = []
+
+
+def each(kind: str, name: str, value: Callable[[], Column], sql: str) -> None:
+    """One row (rec_id, value) for each record; arrays come joined by bars."""
+    make, table, key = _KINDS[kind]
+    EACH.append((kind, name, value, sql))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = make(spark, sf_dir).select("rec_id", value().alias("value"))
+        return rows.select("rec_id", F.array_join("value", "|").alias("value")) if dict(rows.dtypes)["value"].startswith("array") else rows
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT k AS rec_id, {sql} AS value FROM (SELECT *, {key} AS k FROM {table})"
+
+
+def _bars(*parts: str) -> str:
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
+def _first_values(fields: Column, code: str = "a") -> Column:
+    return E.each_value(fields, code)
+
+
+# bibliographic accessors --------------------------------------------------------------------------------------
+
+YEAR = "CAST(1990 + k % 35 AS VARCHAR)"
+DATE = f"CASE WHEN k % 10 = 3 THEN 'c' || {YEAR} WHEN k % 10 = 7 THEN '[19--?]' ELSE {YEAR} END"
+HAS_260, HAS_264 = "k % 2 = 0", "(k % 2 = 1 AND k % 9 <> 0)"
+AUTHOR, CORPORATE = "CASE WHEN k % 6 <> 0 THEN 'Author ' || k % 50 END", "CASE WHEN k % 6 = 0 THEN 'Corporation ' || k % 12 END"
+CONTRIBUTORS = _bars("'Contributor ' || k % 17", "CASE WHEN k % 3 = 0 THEN 'Editor ' || k % 23 END")
+PLACE = f"CASE WHEN {HAS_260} THEN 'City ' || k % 10 WHEN {HAS_264} THEN 'Town ' || k % 10 END"
+PUBLISHER = f"CASE WHEN {HAS_260} AND k % 3 <> 0 THEN 'Publisher ' || k % 20 WHEN {HAS_264} THEN 'Press ' || k % 20 END"
+_CHECK = "(10 - (38 + list_sum(list_transform(range(1, 10), lambda i: CAST(substr(lpad(CAST(k AS VARCHAR), 9, '0'), i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END))) % 10) % 10"
+ISBN = f"'978' || lpad(CAST(k AS VARCHAR), 9, '0') || CAST(CASE WHEN k % 5 = 0 THEN ({_CHECK} + 1) % 10 ELSE {_CHECK} END AS INT)"
+TOPICS, GEOGRAPHIC = "replace(p_type, ' ', '|')", "CASE WHEN k % 4 = 1 THEN 'Place ' || k % 9 END"
+TYPE, LEVEL = "CASE WHEN k % 7 = 0 THEN 'c' WHEN k % 7 = 1 THEN 'g' ELSE 'a' END", "CASE WHEN k % 5 = 0 THEN 's' ELSE 'm' END"
+ADMIN_YEAR = f"CASE WHEN k % 11 <> 0 THEN {YEAR} END"
+LANG = "CASE WHEN k % 13 = 0 THEN '   ' ELSE ['eng', 'ger', 'fre', 'spa'][k % 4 + 1] END"
+TEXT_008 = f"'240101s' || CASE WHEN k % 11 = 0 THEN '0000' ELSE {YEAR} END || '    xxu' || repeat(' ', 17) || {LANG} || ' d'"
+DATES = "'19' || lpad(CAST(k % 90 AS VARCHAR), 2, '0') || '-'"
+NOTES = _bars("'Note ' || k % 7", "'Bibliography ' || k % 8")
+_PLACE_STATEMENT = f"CASE WHEN {HAS_260} OR {HAS_264} THEN concat_ws(', ', concat_ws(' : ', {PLACE}, {PUBLISHER}), {DATE}) END"
+
+for _name, _value, _sql in (
+    ("title", A.title, "p_name"),
+    ("title_with_responsibility", lambda: F.concat_ws("|", A.title_with_responsibility()["title"], A.title_with_responsibility()["responsibility"]), "p_name || '|by ' || p_brand"),
+    ("author", A.author, AUTHOR),
+    ("authors", A.authors, CONTRIBUTORS),
+    ("corporate_author", A.corporate_author, CORPORATE),
+    ("publisher", A.publisher, PUBLISHER),
+    ("place_of_publication", A.place_of_publication, PLACE),
+    ("publication_date", A.publication_date, f"CASE WHEN {HAS_260} OR {HAS_264} THEN {DATE} ELSE {ADMIN_YEAR} END"),
+    ("publication_info", lambda: E.let(A.publication_info(), lambda i: F.concat_ws("|", i["place"], i["publisher"], i["date"])), f"CASE WHEN {HAS_260} OR {HAS_264} THEN {_bars(PLACE, PUBLISHER, DATE)} ELSE '' END"),
+    ("publication_year", A.publication_year, f"CAST(CASE WHEN ({HAS_260} OR {HAS_264}) AND k % 10 <> 7 THEN {YEAR} ELSE {ADMIN_YEAR} END AS INT)"),
+    ("publication_statement", A.publication_statement, _PLACE_STATEMENT),
+    ("isbn", A.isbn, ISBN),
+    ("isbns", A.isbns, ISBN),
+    ("isbn_valid", lambda: S.isbn_valid(A.isbn()), "k % 5 <> 0"),
+    ("issn", A.issn, "CAST(NULL AS VARCHAR)"),
+    ("issnl", A.issnl, "CAST(NULL AS VARCHAR)"),
+    ("issn_title", A.issn_title, "CAST(NULL AS VARCHAR)"),
+    ("subjects", A.subjects, _bars(TOPICS, GEOGRAPHIC)),
+    ("language", A.language, f"nullif({LANG}, '   ')"),
+    ("control_number", A.control_number, "CAST(k AS VARCHAR)"),
+    ("lccn", A.lccn, "CAST(NULL AS VARCHAR)"),
+    ("physical_description", A.physical_description, "p_size || ' pages'"),
+    ("series", A.series, "CASE WHEN k % 3 = 1 THEN p_brand END"),
+    ("uniform_title", A.uniform_title, "CAST(NULL AS VARCHAR)"),
+    ("sudoc", A.sudoc, "CAST(NULL AS VARCHAR)"),
+    ("location", A.location, "'Library ' || k % 5"),
+    ("notes", A.notes, NOTES),
+    ("is_book", A.is_book, f"({TYPE}) = 'a' AND ({LEVEL}) = 'm'"),
+    ("is_serial", A.is_serial, f"({LEVEL}) = 's'"),
+    ("is_music", A.is_music, f"({TYPE}) IN ('c', 'd')"),
+    ("is_audiovisual", A.is_audiovisual, f"({TYPE}) = 'g'"),
+    ("control_char_at", lambda: E.char_at("008", 6), "'s'"),
+    ("control_field", lambda: E.control_value("008"), TEXT_008),
+    ("get_fields", lambda: _first_values(A.get_fields("650", "245")), f"{TOPICS} || '|' || p_name"),
+    ("get_field_or_error", lambda: E.value_of(A.field_or_error("245"), "a"), "p_name"),
+    ("fields_in_stored_order", lambda: A.get_fields()["tag"], f"""concat_ws('|', '020', CASE WHEN k % 6 <> 0 THEN '100' ELSE '110' END, '245', '700', CASE WHEN k % 3 = 0 THEN '700' END, CASE WHEN {HAS_260} THEN '260' WHEN {HAS_264} THEN '264' END,
+        '300', CASE WHEN k % 3 = 1 THEN '490' END, '504', '500', repeat('650|', len(string_split(p_type, ' ')) - 1) || '650', CASE WHEN k % 4 = 1 THEN '651' END, '852', CASE WHEN k % 4 = 0 THEN '880' END)"""),
+    ("linked_880", lambda: _first_values(A.linked_880()), "CASE WHEN k % 4 = 0 THEN 'Ω ' || p_name ELSE '' END"),
+    ("added_entries", lambda: _first_values(A.added_entries()), CONTRIBUTORS),
+    ("all_subject_fields", lambda: _first_values(A.all_subject_fields()), _bars(TOPICS, GEOGRAPHIC)),
+    ("all_names", lambda: _first_values(A.all_names()), _bars(AUTHOR, CONTRIBUTORS)),
+    ("authors_with_dates", lambda: F.transform(A.authors_with_dates(), lambda x: F.concat(x["name"], F.lit(" "), x["dates"])), _bars(f"CASE WHEN k % 6 <> 0 THEN 'Author ' || k % 50 || ' ' || {DATES} END", f"CASE WHEN k % 2 = 0 THEN 'Contributor ' || k % 17 || ' b. ' || {YEAR} END")),
+    ("field_at", lambda: E.value_of(A.field_at("700", 1), "a"), "CASE WHEN k % 3 = 0 THEN 'Editor ' || k % 23 END"),
+    # fields and subfields
+    ("subfield_values", lambda: E.values_of(E.first_of("245"), "a", "c"), "p_name || '|by ' || p_brand"),
+    ("field_value", lambda: E.join_values(E.first_of("852")), "'Library ' || k % 5 || ' Branch ' || k % 3"),
+    ("format_field", lambda: E.format_field(E.first_of("245")), "p_name || ' by ' || p_brand"),
+    ("format_subject", lambda: F.transform(E.fields_of("650"), lambda f: E.format_field(f)), "array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: w || CASE WHEN k % 3 = 0 THEN ' -- History ' || (i - 1) ELSE '' END), '|')"),
+    ("display_field", lambda: E.display(E.first_of("852")), "'=852  ' || repeat(chr(92), 2) || '$aLibrary ' || k % 5 || '$bBranch ' || k % 3"),
+    ("values_by_code", lambda: F.transform(E.by_code(E.first_of("245")), lambda g: F.concat(g["code"], F.lit("="), F.array_join(g["values"], "+"))), _bars("CASE WHEN k % 4 = 0 THEN '6=880-01' END", "'a=' || p_name", "'c=by ' || p_brand")),
+    ("indicators", lambda: F.concat(E.first_of("245")["ind1"], E.first_of("245")["ind2"]), "'10'"),
+    ("script_language", lambda: S.script_language(E.value_of(E.first_of("880"), "a")), "CASE WHEN k % 4 = 0 THEN 'el' END"),
+    ("leader_text", lambda: S.leader_text(F.col("leader")), f"'00000n' || ({TYPE}) || ({LEVEL}) || ' a2200000 a 4500'"),
+    ("leader_description", lambda: S.describe_leader_value(6, F.col("leader.record_type")), f"CASE ({TYPE}) WHEN 'a' THEN 'Language material' WHEN 'c' THEN 'Notated music' ELSE 'Projected medium' END"),
+    ("leader_value_valid", lambda: S.leader_value_valid(8, F.col("leader.control_record_type")), "false"),
+    ("leader_patched", lambda: X.set_leader(5, "c", S.leader_text(F.col("leader"))), f"'00000c' || ({TYPE}) || ({LEVEL}) || ' a2200000 a 4500'"),
+    # the query language
+    ("match_field_query", lambda: _first_values(D.matching(D.FieldQuery().tag("650").indicator2("0").has_subfield("a"))), "string_split(p_type, ' ')[1]"),
+    ("match_subfields_all", lambda: _first_values(D.matching(D.FieldQuery("700").has_subfields("a", "d"))), "CASE WHEN k % 2 = 0 THEN 'Contributor ' || k % 17 ELSE '' END"),
+    ("match_tag_range", lambda: F.size(D.matching(D.TagRangeQuery("600", "699"))), "CAST(len(string_split(p_type, ' ')) + CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS INT)"),
+    ("match_range_indicator", lambda: F.size(D.matching(D.FieldQuery(ind2="0").tag_range("600", "699"))), "CAST(1 + CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS INT)"),
+    ("match_pattern", lambda: _first_values(D.matching(D.SubfieldPatternQuery("260", "c", "^c[0-9]+$")), "c"), f"CASE WHEN {HAS_260} AND k % 10 = 3 THEN 'c' || {YEAR} ELSE '' END"),
+    ("match_pattern_negated", lambda: F.size(D.matching(D.SubfieldPatternQuery.negated("700", "d", "19"))), f"CAST(k % 2 = 0 AND NOT contains({YEAR}, '19') AS INT)"),
+    ("match_value", lambda: F.size(D.matching(D.SubfieldValueQuery("852", "b", "Branch 1"))), "CAST(k % 3 = 1 AS INT)"),
+    ("match_value_partial", lambda: F.size(D.matching(D.SubfieldValueQuery.partial("245", "a", "blue"))), "CAST(contains(p_name, 'blue') AS INT)"),
+    ("match_value_negated", lambda: F.size(D.matching(D.SubfieldValueQuery.negated("260", "b", "Publisher 4"))), f"CAST({HAS_260} AND k % 3 <> 0 AND k % 20 <> 4 AS INT)"),
+    ("match_value_partial_negated", lambda: F.size(D.matching(D.SubfieldValueQuery.partial_negated("245", "a", "blue"))), "CAST(NOT contains(p_name, 'blue') AS INT)"),
+    ("fields_by_indicator", lambda: F.size(D.fields_by_indicator("650", ind2="1")), "CAST(len(string_split(p_type, ' ')) - 1 AS INT)"),
+    ("fields_with_subfields", lambda: F.size(D.fields_with_subfields("852", "a", "b")), "1"),
+    ("subjects_with_subdivision", lambda: _first_values(D.subjects_with_subdivision("x", "History 0")), "CASE WHEN k % 3 = 0 THEN string_split(p_type, ' ')[1] ELSE '' END"),
+    ("subjects_with_note", lambda: F.size(D.subjects_with_note("History")), "CAST(CASE WHEN k % 3 = 0 THEN len(string_split(p_type, ' ')) ELSE 0 END AS INT)"),
+    ("isbns_matching", lambda: F.size(D.isbns_matching("^97800000000[0-9]+$")), "CAST(k < 10 AS INT)"),
+    # links
+    ("linkage", lambda: E.let(L.linkage_of(E.first_of("880")), lambda x: F.concat_ws("|", x["tag"], x["occurrence"], x["script"], x["is_reverse"].cast("string"))), "CASE WHEN k % 4 = 0 THEN '245|01|$1|false' ELSE '' END"),
+    ("linked_field", lambda: E.value_of(L.linked_field(E.first_of("245")), "a"), "CASE WHEN k % 4 = 0 THEN 'Ω ' || p_name END"),
+    ("original_field", lambda: E.value_of(L.original_field(E.first_of("880")), "a"), "CASE WHEN k % 4 = 0 THEN p_name END"),
+    ("field_pairs", lambda: F.transform(L.field_pairs("245"), lambda p: F.concat_ws(">", E.value_of(p["field"], "a"), E.value_of(p["linked"], "a"))), "CASE WHEN k % 4 = 0 THEN p_name || '>Ω ' || p_name ELSE p_name END"),
+    ("linked_by_occurrence", lambda: L.linked_by_occurrence("01")["tag"], "CASE WHEN k % 4 = 0 THEN '245|880' ELSE '' END"),
+    # edits
+    ("remove_fields", lambda: X.remove_tag("020", "700", "852", "880", "504", "500", "300")["tag"], f"""concat_ws('|', CASE WHEN k % 6 <> 0 THEN '100' ELSE '110' END, '245', CASE WHEN {HAS_260} THEN '260' WHEN {HAS_264} THEN '264' END, CASE WHEN k % 3 = 1 THEN '490' END, repeat('650|', len(string_split(p_type, ' ')) - 1) || '650', CASE WHEN k % 4 = 1 THEN '651' END)"""),
+    ("set_values", lambda: E.each_value(E.fields_of("700", X.set_values("700", "a", "X")), "a"), "CASE WHEN k % 3 = 0 THEN 'X|X' ELSE 'X' END"),
+    ("update_where", lambda: E.each_value(E.fields_of("650", X.set_values_where(lambda f: f["ind2"] == "1", "a", "Y")), "a"), "array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: CASE WHEN i = 1 THEN w ELSE 'Y' END), '|')"),
+    ("add_field", lambda: E.each_value(E.fields_of("500", X.add_fields(E.field("500", " ", " ", E.subfields(("a", F.lit("New")))))), "a"), "'Note ' || k % 7 || '|New'"),
+    ("add_ordered_field", lambda: F.get(X.add_ordered(E.field("050", " ", "4", E.subfields(("a", F.lit("QA"))))), 1)["tag"], "'050'"),
+    ("remove_field_at", lambda: E.each_value(E.fields_of("700", X.remove_at("700", 0)), "a"), "CASE WHEN k % 3 = 0 THEN 'Editor ' || k % 23 ELSE '' END"),
+    ("add_subfield", lambda: E.join_values(X.add_subfield(E.first_of("852"), "z", "end")), "'Library ' || k % 5 || ' Branch ' || k % 3 || ' end'"),
+    ("delete_subfield", lambda: E.join_values(X.delete_subfield(E.first_of("852"), "a")), "'Branch ' || k % 3"),
+    ("remove_subfields_where", lambda: E.join_values(X.remove_subfields_where(E.first_of("245"), lambda s: s["code"].isin("6", "c"))), "p_name"),
+    ("add_control_field", lambda: X.add_control("003", "QUI")["tag"], "'001|008|003'"),
+    ("set_control_field", lambda: F.get(X.set_control_at("001", 0, "none"), 0)["value"], "'none'"),
+    ("clear_fields", lambda: F.size(X.no_fields()), "0"),
+    # validation
+    ("record_problem", lambda: V.record_problem(), "CAST(NULL AS VARCHAR)"),
+    ("is_valid", lambda: V.is_valid(), "true"),
+    ("fields_valid", lambda: F.forall("fields", V.field_valid), "true"),
+    ("indicator_meaning", lambda: F.transform(E.fields_of("650"), lambda f: V.indicator_meaning(f["tag"], 2, f["ind2"])), "array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: CASE WHEN i = 1 THEN 'LCSH' ELSE 'LCSH (conflict)' END), '|')"),
+    ("directory_problem", lambda: V.directory_problem(), "CAST(NULL AS VARCHAR)"),
+    ("encoding_inconsistent", lambda: V.encoding_report()["inconsistent"], "0"),
+    ("encoding_declared", lambda: V.encoding_report()["declared"], "'utf8'"),
+    # Dublin Core elements
+    ("dc_title", lambda: C.dublin_core()["title"], "p_name || ' by ' || p_brand"),
+    ("dc_creator", lambda: C.dublin_core()["creator"], f"coalesce({AUTHOR}, {CORPORATE})"),
+    ("dc_identifier", lambda: C.dublin_core()["identifier"], f"'ISBN: ' || {ISBN} || '|Control#: ' || k"),
+    ("dc_description", lambda: C.dublin_core()["description"], "'Note ' || k % 7"),
+    ("dc_publisher", lambda: C.dublin_core()["publisher"], f"CASE WHEN {HAS_260} THEN 'City ' || k % 10 ELSE '' END"),
+):
+    each("bib", f"bib_{_name}", _value, _sql)
+
+# authority records --------------------------------------------------------------------------------------------
+
+_KIND = "['EstablishedHeading', 'ReferenceUntracted', 'ReferenceTraced', 'Subdivision', 'NodeLabel', 'EstablishedHeadingAndSubdivision', 'ReferenceAndSubdivision'][k % 7 + 1]"
+_SEE_FROM = _bars("CASE WHEN k % 2 = 0 THEN 'Variant of ' || c_name END", "CASE WHEN k % 10 = 0 THEN 'Odd tracing' END")
+_SEE_ALSO, _RELATED = "CASE WHEN k % 4 = 0 THEN 'See also ' || k % 9 ELSE '' END", "CASE WHEN k % 6 = 0 THEN 'Linked ' || k % 6 ELSE '' END"
+_VARIANT = "CASE WHEN k % 2 = 0 THEN 'Variant of ' || c_name ELSE '' END"
+for _name, _value, _sql in (
+    ("heading", A.heading_text, "c_name"),
+    ("heading_type", A.heading_type, "CASE WHEN k % 3 = 0 THEN 'CorporateName' ELSE 'PersonalName' END"),
+    ("see_from_tracings", lambda: _first_values(A.see_from_tracings()), _SEE_FROM),
+    ("see_also_tracings", lambda: _first_values(A.see_also_tracings()), _SEE_ALSO),
+    ("notes", lambda: A.authority_notes()["tag"], _bars("'670'", "CASE WHEN k % 5 = 0 THEN '671' END", "CASE WHEN k % 2 = 1 THEN '680' END")),
+    ("source_data_found", lambda: _first_values(A.source_data_found()), "'Source ' || c_mktsegment"),
+    ("source_data_not_found", lambda: F.size(A.source_data_not_found()), "CAST(k % 5 = 0 AS INT)"),
+    ("linking_entries", lambda: _first_values(A.linking_entries()), _RELATED),
+    ("kind_of_record", A.kind_of_record, _KIND),
+    ("level_of_establishment", A.level_of_establishment, "['FullyEstablished', 'Memorandum', 'Provisional', 'Preliminary', 'NotApplicable'][k % 5 + 1]"),
+    ("is_established", A.is_established, "k % 7 IN (0, 5)"),
+    ("is_reference", A.is_reference, "k % 7 IN (1, 2, 6)"),
+    ("see_from_headings", lambda: _first_values(A.see_from_headings()), _VARIANT),
+    ("see_also_headings", lambda: _first_values(A.see_also_headings()), _SEE_ALSO),
+    ("relationship_fields", lambda: _first_values(A.relationship_fields()), _RELATED),
+    ("references", lambda: _first_values(A.authority_references()), f"concat_ws('|', nullif({_VARIANT}, ''), nullif({_SEE_ALSO}, ''), nullif({_RELATED}, ''))"),
+    ("related_heading", lambda: E.value_of(A.related_heading(), "a"), f"nullif({_SEE_ALSO}, '')"),
+    ("subdivisions", lambda: A.subdivisions(A.heading()), "concat_ws('|', CASE WHEN k % 6 = 0 THEN 'History' END, CASE WHEN k % 12 = 0 THEN 'Maps' END)"),
+    ("scope_note", A.scope_note, "CASE WHEN k % 2 = 1 THEN 'Scope ' || c_mktsegment END"),
+    ("record_problem", lambda: V.leader_problem("authority"), "'encoding_level'"),
+):
+    each("authority", f"auth_{_name}", _value, _sql)
+
+# holdings records ---------------------------------------------------------------------------------------------
+
+for _name, _value, _sql in (
+    ("locations", lambda: _first_values(A.locations()), "'Lib ' || k % 4"),
+    ("captions_basic", lambda: _first_values(A.part("captions")), "'v.'"),
+    ("captions_supplements", lambda: _first_values(A.part("captions", "supplements")), "CASE WHEN k % 2 = 0 THEN 'suppl.' ELSE '' END"),
+    ("enumeration_basic", lambda: _first_values(A.part("enumeration")), "CAST(k % 12 AS VARCHAR)"),
+    ("textual_holdings", lambda: _first_values(A.part("textual_holdings")), "'v.1-' || k % 12"),
+    ("item_information", lambda: _first_values(A.part("item_information")), "CASE WHEN k % 2 = 0 THEN 'item ' || k ELSE '' END"),
+    ("holdings_type", A.holdings_type, "['SinglePartItem', 'SerialItem', 'MultipartItem', 'Unknown'][k % 4 + 1]"),
+    ("acquisition_status", A.acquisition_status, "CASE WHEN k % 5 < 4 THEN ['Other', 'ReceivedAndComplete', 'OnOrder', 'ReceivedAndIncomplete'][k % 5 + 1] END"),
+    ("method_of_acquisition", A.method_of_acquisition, "CASE WHEN k % 8 < 7 THEN ['Unknown', 'Free', 'Gift', 'LegalDeposit', 'Membership', 'Purchase', 'Exchange'][k % 8 + 1] END"),
+    ("completeness", A.completeness, "CASE WHEN k % 5 < 4 THEN ['Complete', 'Incomplete', 'Scattered', 'NotApplicable'][k % 5 + 1] END"),
+    ("is_serial", A.is_serial_holdings, "k % 4 = 1"),
+    ("is_multipart", A.is_multipart, "k % 4 = 2"),
+    ("call_number", A.call_number, "CASE WHEN k % 3 = 0 THEN 'LOCAL ' || k ELSE 'QA ' || k END"),
+    ("holding_location", A.holding_location, "'Branch ' || k % 3"),
+    ("holding_notes", A.holding_notes, "CASE WHEN k % 2 = 1 THEN 'Holding note|Second note' ELSE 'Holding note' END"),
+):
+    each("holdings", f"hold_{_name}", _value, _sql)
+
+
+# whole tables -------------------------------------------------------------------------------------------------
+
+
+def framed(records: DataFrame, kind: str = "bib") -> DataFrame:
+    """Records as bytes, as a scan would give them."""
+    return I.encoded(records, kind).select("rec_id", F.lit("testkit").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), "raw")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are written, framed, parsed and queried: one row for each 650 _0 with an $a."""
+    records = I.parse(framed(testkit.bib(spark, sf_dir)))
+    found = D.matching(D.FieldQuery().tag("650").indicator2("0").has_subfield("a"))
+    return records.select(A.control_number().alias("control_number"), A.title().alias("title"), F.explode(E.each_value(found, "a")).alias("subject"))
+
+
+query("flagship", "SELECT CAST(p_partkey AS VARCHAR) AS control_number, p_name AS title, string_split(p_type, ' ')[1] AS subject FROM part")(flagship)
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_long(testkit.bib(spark, sf_dir))
+
+
+_WORDS = "(SELECT p_partkey AS k, p_name, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part)"
+
+
+@query("scan_count", "SELECT count(*) AS n FROM part")
+def _(spark, sf_dir):
+    return framed(testkit.bib(spark, sf_dir)).where(F.octet_length("raw") >= 24).agg(F.count("*").alias("n"))
+
+
+@query("scan_roundtrip", "SELECT count(*) AS n, count(*) AS same FROM part")
+def _(spark, sf_dir):
+    records = testkit.bib(spark, sf_dir)
+    again = I.parse(framed(records)).select("rec_id", F.col("control").alias("c"), F.col("fields").alias("f"))
+    return records.join(again, "rec_id").agg(F.count("*").alias("n"), F.count_if(X.same_record(F.col("control"), F.col("fields"), F.col("c"), F.col("f"))).alias("same"))
+
+
+@query("scan_authority", "SELECT c_custkey AS rec_id, c_name AS heading FROM customer")
+def _(spark, sf_dir):
+    return I.parse(framed(testkit.authority(spark, sf_dir), "authority"), "authority").select("rec_id", A.heading_text().alias("heading"))
+
+
+@query("scan_holdings", "SELECT s_suppkey AS rec_id, 'Branch ' || s_suppkey % 3 AS branch FROM supplier")
+def _(spark, sf_dir):
+    return I.parse(framed(testkit.holdings(spark, sf_dir), "holdings"), "holdings").select("rec_id", A.holding_location().alias("branch"))
+
+
+@query("scan_strict_marc", "SELECT p_partkey AS rec_id, 0 AS n_errors FROM part")
+def _(spark, sf_dir):
+    return I.parse(framed(testkit.bib(spark, sf_dir)), validation="strict_marc").select("rec_id", F.size("errors").alias("n_errors"))
+
+
+@query("scan_salvage", "SELECT 'E005' AS code, count(*) AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'E001', count(*) FROM part WHERE p_partkey % 3 = 1")
+def _(spark, sf_dir):
+    raw = F.col("raw")
+    broken = F.when(F.col("rec_id") % 3 == 0, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).when(F.col("rec_id") % 3 == 1, F.concat(F.lit(b"x"), F.substring(raw, F.lit(2), F.octet_length(raw)))).otherwise(raw)
+    rows = I.parse(framed(testkit.bib(spark, sf_dir)).withColumn("raw", broken))
+    return rows.select(F.explode("errors.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("boundaries", "SELECT count(*) AS n, true AS contiguous FROM part")
+def _(spark, sf_dir):
+    spots = I.boundaries(framed(testkit.bib(spark, sf_dir)))
+    return spots.agg(F.count("*").alias("n"), (F.max(F.col("byte_offset") + F.col("length")) == F.sum("length")).alias("contiguous"))
+
+
+@query("oversized_records", "SELECT doc_id AS rec_id, octet_length(encode(coalesce(text, ''))) + 5 > 9999 AS too_long FROM documents")
+def _(spark, sf_dir):
+    docs = testkit.table(spark, sf_dir, "documents")
+    records = testkit.record(docs, F.col("doc_id"), "bib", testkit.leader(), [("001", F.col("doc_id"))], [testkit.one("520", " ", " ", ("a", F.coalesce(F.col("text"), F.lit(""))))])
+    return I.encoded(records, mode="permissive").select("rec_id", F.coalesce(F.col("error").startswith("E404"), F.lit(False)).alias("too_long"))
+
+
+@query("long_tag_frequency", f"SELECT '650' AS tag, 'a' AS code, count(*) AS n FROM {_WORDS} UNION ALL SELECT '245', 'a', count(*) FROM part UNION ALL SELECT '245', 'c', count(*) FROM part UNION ALL SELECT '245', '6', count(*) FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT '650', 'x', count(*) FROM {_WORDS} WHERE k % 3 = 0")
+def _(spark, sf_dir):
+    return _long(spark, sf_dir).where(F.col("tag").isin("245", "650")).groupBy("tag", "code").agg(F.count("*").alias("n"))
+
+
+@query("long_subject_counts", f"SELECT w AS subject, count(*) AS n, count(DISTINCT k) AS records FROM {_WORDS} GROUP BY w")
+def _(spark, sf_dir):
+    return _long(spark, sf_dir).where("tag = '650' AND code = 'a'").groupBy(F.col("value").alias("subject")).agg(F.count("*").alias("n"), F.count_distinct("rec_id").alias("records"))
+
+
+@query("long_field_query", f"SELECT k AS rec_id, '650' AS tag, CAST(i - 1 AS INT) AS occ FROM {_WORDS} WHERE i = 1")
+def _(spark, sf_dir):
+    return D.FieldQuery("650", ind2="0").has_subfield("a").where_long(_long(spark, sf_dir))
+
+
+@query("long_pattern_query", f"SELECT k AS rec_id, '650' AS tag, CAST(i - 1 AS INT) AS occ FROM {_WORDS} WHERE starts_with(w, 'S')")
+def _(spark, sf_dir):
+    return D.SubfieldPatternQuery("650", "a", "^S").where_long(_long(spark, sf_dir))
+
+
+@query("records_with", "SELECT p_partkey AS rec_id, p_name AS title FROM part WHERE contains(p_name, 'red')")
+def _(spark, sf_dir):
+    records = testkit.bib(spark, sf_dir)
+    return D.records_with(records, to_long(records), D.SubfieldValueQuery.partial("245", "a", "red")).select("rec_id", A.title().alias("title"))
+
+
+@query("records_without", "SELECT p_partkey AS rec_id, p_name AS title FROM part WHERE p_partkey % 3 <> 1")
+def _(spark, sf_dir):
+    records = testkit.bib(spark, sf_dir)
+    return D.records_without(records, to_long(records), D.FieldQuery("490").has_subfield("a")).select("rec_id", A.title().alias("title"))
+
+
+@query("records_filter", "SELECT p_partkey AS rec_id FROM part WHERE p_partkey % 4 = 0")
+def _(spark, sf_dir):
+    return testkit.bib(spark, sf_dir).where(D.any_field(D.FieldQuery("880"))).select("rec_id")
+
+
+@query("long_roundtrip", "SELECT count(*) AS n, count(*) AS same FROM part")
+def _(spark, sf_dir):
+    records = testkit.bib(spark, sf_dir)
+    again = from_long(to_long(records)).select("rec_id", F.col("control").alias("c"), F.col("fields").alias("f"))
+    return records.join(again, "rec_id").agg(F.count("*").alias("n"), F.count_if(X.same_record(F.col("control"), F.col("fields"), F.col("c"), F.col("f"))).alias("same"))
+
+
+@query("linked_pairs", "SELECT p_partkey AS rec_id, '245' AS tag, 0 AS occ, 0 AS linked_occ FROM part WHERE p_partkey % 4 = 0")
+def _(spark, sf_dir):
+    return L.linked_pairs(_long(spark, sf_dir)).select("rec_id", "tag", "occ", "linked_occ")
+
+
+@query("first_linked", "SELECT p_partkey AS rec_id, '245' AS tag, 0 AS occ, CASE WHEN p_partkey % 4 = 0 THEN 0 END AS linked_occ FROM part")
+def _(spark, sf_dir):
+    return L.first_linked(_long(spark, sf_dir), "245")
+
+
+@query("originals", "SELECT p_partkey AS rec_id, 0 AS occ, '245' AS original_tag, 0 AS original_occ FROM part WHERE p_partkey % 4 = 0")
+def _(spark, sf_dir):
+    return L.originals(_long(spark, sf_dir))
+
+
+@query("first_values", "SELECT p_partkey AS rec_id, '700' AS tag, 'a' AS code, 'Contributor ' || p_partkey % 17 AS value FROM part")
+def _(spark, sf_dir):
+    return L.occurrence_rank(_long(spark, sf_dir).where("tag = '700' AND code = 'a'")).select("rec_id", "tag", "code", "value")
+
+
+@query("bib_authority_join", "SELECT p_partkey AS rec_id, c_custkey AS authority_id FROM part JOIN customer ON 'Customer#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') = c_name")
+def _(spark, sf_dir):
+    names = testkit.bib(spark, sf_dir).select("rec_id", F.concat(F.lit("Customer#"), F.lpad(A.control_number(), 9, "0")).alias("name"))
+    heads = testkit.authority(spark, sf_dir).select(F.col("rec_id").alias("authority_id"), A.heading_text().alias("name"))
+    return names.join(heads, "name").select("rec_id", "authority_id")
+
+
+@query("limited_scan", "SELECT p_partkey AS rec_id FROM part ORDER BY p_partkey LIMIT 10")
+def _(spark, sf_dir):
+    return I.parse(framed(testkit.bib(spark, sf_dir)).orderBy("rec_id").limit(10)).select("rec_id")
+
+
+@query("csv_lines", "SELECT 'a' AS code, count(*) AS n FROM part WHERE contains(p_name, 'red')")
+def _(spark, sf_dir):
+    lines = C.csv_lines(testkit.bib(spark, sf_dir), lambda tag: tag == "245")
+    return lines.where(F.col("line").contains("red") & F.col("line").startswith("245,1,0,a,")).agg(F.lit("a").alias("code"), F.count("*").alias("n")).select("code", "n")
+
+
+def _codec(name: str, make, back) -> None:
+    def run(spark, sf_dir):
+        records = testkit.bib(spark, sf_dir)
+        again = records.select("rec_id", make().alias("text")).select("rec_id", back(F.col("text")).alias("r")).select("rec_id", F.col("r.control").alias("c"), F.col("r.fields").alias("f"))
+        return records.join(again, "rec_id").agg(F.count("*").alias("n"), F.count_if(X.same_record(F.col("control"), F.col("fields"), F.col("c"), F.col("f"))).alias("same"))
+
+    query(f"codec_{name}", "SELECT count(*) AS n, count(*) AS same FROM part")(run)
+
+
+for _name, _make, _back in (("json", C.to_json, C.from_json), ("marcjson", C.to_marcjson, C.from_json), ("dict", C.to_dict_json, C.from_json), ("marcxml", C.to_marcxml, C.from_marcxml)):
+    _codec(_name, _make, _back)
+
+
+@query("codec_mods", "SELECT p_partkey AS rec_id, p_name AS title, CAST(len(string_split(p_type, ' ')) AS INT) AS topics FROM part")
+def _(spark, sf_dir):
+    text = testkit.bib(spark, sf_dir).select("rec_id", C.to_mods().alias("t"))
+    return text.select("rec_id", F.regexp_extract("t", "<mods:title>([^<]*)<", 1).alias("title"), F.size(F.regexp_extract_all("t", F.lit("<mods:topic>"), F.lit(0))).alias("topics"))
+
+
+@query("codec_dublin_core", "SELECT p_partkey AS rec_id, p_name || ' by ' || p_brand AS title FROM part")
+def _(spark, sf_dir):
+    text = testkit.bib(spark, sf_dir).select("rec_id", C.to_dublin_core_xml().alias("t"))
+    return text.select("rec_id", F.replace(F.regexp_extract("t", "<dc:title>([^<]*)<", 1), F.lit("&amp;"), F.lit("&")).alias("title"))
