@@ -356,9 +356,13 @@ def encoded(records: DataFrame, kind: str = "bib", mode: str = "strict") -> Data
 
 
 def frames(text: DataFrame) -> DataFrame:
-    """(rec_id, source, rec_index, byte_offset, raw) from a ``text`` scan split at 0x1D; files split at any byte."""
+    """(rec_id, source, rec_index, byte_offset, raw) from a ``text`` scan split at 0x1D; files split at any byte.
+
+    In a stream rec_id is a hash of file and bytes, as rows have no numbers there.
+    """
     raw = F.concat(F.col("value").cast("binary"), F.lit(RS))
-    return text.select(F.monotonically_increasing_id().alias("rec_id"), F.col("_metadata.file_path").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), raw.alias("raw"))
+    number = F.xxhash64("_metadata.file_path", "value") if text.isStreaming else F.monotonically_increasing_id()
+    return text.select(number.alias("rec_id"), F.col("_metadata.file_path").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), raw.alias("raw"))
 
 
 def boundaries(frames_: DataFrame) -> DataFrame:
