@@ -100,10 +100,17 @@ def decode(ids: Column, pieces: Column) -> Column:
     return F.encode(joined, "ISO-8859-1").cast("string")
 
 
+def _sliced(batches, rows: int = 500):
+    """Smaller batches, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _number(batches):
     """(doc_id, sum, words) -> (doc_id, sum, numbers of the words, words new in this split)."""
     known: dict[str, int] = {}
-    for batch in batches:
+    for batch in _sliced(batches):
         words = batch.column(2)
         flat = pa.concat_arrays([words.flatten()]).dictionary_encode()
         fresh, numbers = [], np.empty(len(flat.dictionary), np.int32)
@@ -131,13 +138,18 @@ def _lay(batches):
             starts = np.r_[starts, len(flat) + np.cumsum(n) - n]
             sizes = np.r_[sizes, n]
             flat = np.r_[flat, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]
-        at = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-        edges = np.zeros(batch.num_rows + 1, np.int64)
-        np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False), out=edges[1:])
-        n = sizes[at]
-        ends = np.r_[0, np.cumsum(n)]
-        out = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends[edges].astype(np.int32)), pa.array(out))], ["doc_id", "sum", "tokens"])
+        for part in _sliced([batch]):
+            yield _laid(part, starts, sizes, flat)
+
+
+def _laid(batch: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    at = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    edges = np.zeros(batch.num_rows + 1, np.int64)
+    np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False), out=edges[1:])
+    n = sizes[at]
+    ends = np.r_[0, np.cumsum(n)]
+    out = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends[edges].astype(np.int32)), pa.array(out))], ["doc_id", "sum", "tokens"])
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -146,7 +158,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = shield(docs).picked().select("doc_id", F.xxhash64(text).alias("sum"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("words"))
     numbered = words.mapInArrow(_number, "doc_id bigint, sum bigint, at array<int>, fresh array<string>")
-    merges = rank_map(ranks)
-    folded = numbered.select("doc_id", "sum", "at", F.transform("fresh", lambda w: fold(w, merges)).alias("ids"))
+    # the map is bound once, so that a plan holds one copy of the literal
+    folded = numbered.select("doc_id", "sum", "at", _let(rank_map(ranks), lambda merges: F.transform("fresh", lambda w: fold(w, merges))).alias("ids"))
     laid = folded.mapInArrow(_lay, "doc_id bigint, sum bigint, tokens array<int>")
     return laid.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (F.xxhash64(decode(F.col("tokens"), piece_list(ranks))) == F.col("sum")).alias("round_trip"))
