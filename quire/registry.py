@@ -294,14 +294,6 @@ def _(spark, sf_dir):
     return I.parse(framed(testkit.bib(spark, sf_dir)), validation="strict_marc").select("rec_id", F.size("errors").alias("n_errors"))
 
 
-@query("scan_salvage", "SELECT 'E005' AS code, count(*) AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'E001', count(*) FROM part WHERE p_partkey % 3 = 1")
-def _(spark, sf_dir):
-    raw = F.col("raw")
-    broken = F.when(F.col("rec_id") % 3 == 0, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).when(F.col("rec_id") % 3 == 1, F.concat(F.lit(b"x"), F.substring(raw, F.lit(2), F.octet_length(raw)))).otherwise(raw)
-    rows = I.parse(framed(testkit.bib(spark, sf_dir)).withColumn("raw", broken))
-    return rows.select(F.explode("errors.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-
-
 @query("boundaries", "SELECT count(*) AS n, true AS contiguous FROM part")
 def _(spark, sf_dir):
     spots = I.boundaries(framed(testkit.bib(spark, sf_dir)))
