@@ -219,6 +219,25 @@ def test_quality_drops_what_is_unlike_the_trusted_text(spark, docs):
     assert not kept & set(range(400, 420)) and len(kept & set(range(400))) >= 390
 
 
+def test_gibberish_is_rejected_beyond_any_number_of_trusted_words(spark, docs):
+    draw = random.Random(3)
+    texts = [" ".join(x for j, x in enumerate(prose(i, 100)) for x in (x, f"name{i}n{j}")) for i in range(1100)]
+    assert len({w for t in texts[:1000] for w in t.split()}) > 65_534
+    junk = [" ".join("".join(draw.choice("qxzjkw") for _ in range(9)) for _ in range(150)) for _ in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.keep(docs(texts + junk), labels).collect()}
+    assert not kept & set(range(1100, 1120)) and len(kept & set(range(1100))) >= 1050
+
+
+def test_common_words_are_a_saving_only(spark, docs, monkeypatch):
+    frame = docs([" ".join(prose(i, 40)) for i in range(60)] + ["kara unseen", "unseen"])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    every = {r.doc_id: r.perplexity for r in kneser_ney.scored(frame, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "COMMON", 5)
+    some = {r.doc_id: r.perplexity for r in kneser_ney.scored(frame, labels).collect()}
+    assert every == pytest.approx(some, rel=1e-9)
+
+
 def test_quality_cases(spark, odd, clashing):
     labels = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
     for frame in (odd, clashing):
