@@ -8,7 +8,7 @@ The search repeats a recursion.  In each repetition every fingerprint is filtere
 strip of ``STRIP`` coordinates: those of one weight form a list, the list is filtered by the next strip, and
 so on until lists are small (the depth follows from the number of fingerprints); lists are then compared in
 full.  Two near fingerprints stay together while the strips' differences are none or cancel, so the number
-of repetitions is set for recall ``RECALL`` of pairs that differ in a share ``NEAR`` of their bits (closer
+of repetitions is set for recall ``RECALL`` of pairs that differ in as many bits as near copies may (closer
 ones are found with more).  No list is cut short: one that stays large is compared in blocks.
 
 Equal fingerprints are one node, and a list gives a spanning forest of its near pairs rather than all of
@@ -34,7 +34,7 @@ from quire.llm.common import Shield, shield, small, stored
 WITHIN = 60
 STRIP = 4
 LIST = 6_000
-NEAR, RECALL = 0.17, 0.95
+NEAR, RECALL = WITHIN / 256, 0.95
 WORDS = 4
 _SPREAD = np.uint64(0x0101010101010101)
 _SALTS = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -200,7 +200,7 @@ def copies(docs: DataFrame, within: int = WITHIN, size: int = LIST) -> DataFrame
     keys = ["f0", "f1", "f2", "f3"]
     nodes = stored(rows.groupBy(*keys).agg(F.min("doc_id").alias("node")).select("node", *keys))
     depth = depth_for(nodes.count(), size)
-    times = repetitions(depth)
+    times = repetitions(depth, within / 256)
     lists = nodes.mapInArrow(lambda b: _listed(b, depth, times), "list bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     lists = lists.repartition("list").sortWithinPartitions("list")
     near = lists.mapInArrow(lambda b: _compared(b, within), "u bigint, v bigint").distinct()

@@ -174,6 +174,22 @@ def test_repetitions_reach_the_recall():
     assert 1 - (1 - together) ** simhash.repetitions(3, 0.1, 0.95) >= 0.95
 
 
+@pytest.mark.parametrize("depth", [3, 4])
+def test_isolated_pairs_are_found_at_every_distance(depth):
+    draw = np.random.default_rng(5)
+    for bits in (20, 44, 50, 55, simhash.WITHIN):
+        f = draw.integers(0, 1 << 64, (400, 4), dtype=np.uint64)
+        other = f.copy()
+        for row in other:
+            for bit in draw.choice(256, bits, replace=False):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        both = np.concatenate([f, other]).view(np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), *[pa.array(both[:, w].copy()) for w in range(4)]], ["node", "f0", "f1", "f2", "f3"])
+        lists = np.stack([b.column(0).to_numpy() for b in simhash._listed([batch], depth, simhash.repetitions(depth))])
+        met = (lists[:, :400] == lists[:, 400:]).any(0)
+        assert met.mean() >= 0.9, (bits, met.mean())
+
+
 # Kneser-Ney ---------------------------------------------------------------------------------------------------
 
 
