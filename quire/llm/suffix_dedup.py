@@ -58,7 +58,9 @@ def _spans(s: Stretches):
         return
     order = np.argsort(window)
     window, source = window[order], source[order]
-    new = np.r_[True, (window[1:] != window[:-1] + 1) | (s.segment[window[1:]] != s.segment[window[:-1]])]
+    doc, hash_ = s.doc[s.segment[source]], s.hash[s.segment[source]]
+    moved = (doc[1:] != doc[:-1]) | (hash_[1:] != hash_[:-1]) | (s.position[source[1:]] != s.position[source[:-1]] + 1)
+    new = np.r_[True, (window[1:] != window[:-1] + 1) | (s.segment[window[1:]] != s.segment[window[:-1]]) | moved]  # a span has one source
     a, b = window[new], window[np.r_[np.flatnonzero(new)[1:] - 1, len(window) - 1]]
     seg = s.segment[a]
     yield pa.RecordBatch.from_arrays(

@@ -68,6 +68,21 @@ def test_suffix_dedup_finds_all_later_copies(docs, passages):
     assert all(r.words_removed == len(later[r.doc_id]) for r in got) and all(r.sources for r in got if r.doc_id in (73, 74))
 
 
+def test_sources_are_those_of_every_window(docs, passages):
+    p = prose(4000, 65)
+    for rows in (passages, [(1, " ".join(p[:60])), (2, " ".join(p)), (3, " ".join(p))]):
+        first, want = {}, {}
+        for doc, text in sorted(rows, key=_order):
+            words = (text or "").split()
+            for i in range(len(words) - L + 1):
+                at = first.setdefault(tuple(words[i : i + L]), (doc, i))
+                if at != (doc, i):
+                    want.setdefault(doc, set()).add(at[0])
+        got = {r.doc_id: set(r.sources) for r in suffix_dedup.later_copies(docs(rows)).collect()}
+        assert got == {d: x - {None} for d, x in want.items()}
+    assert got[3] == {1, 2}
+
+
 def test_phrase_automata_find_every_occurrence(docs, passages):
     later, every = repeated(passages)
     got = {r.doc_id: r for r in phrase_automata.occurrences(docs(passages)).collect()}
