@@ -2,24 +2,25 @@
 
 Text is split by the vocabulary's pattern on the JVM.  In each input split the distinct words are found
 (an Arrow dictionary, no Python object per word), and Spark higher-order functions fold the ranked merges
-over each distinct word's bytes once: a word starts as single bytes, and each step joins the neighbours
-whose union has the least rank in a literal rank map.  Ids are then laid out by each document's word
-numbers.  Nothing is shuffled, and the work per split does not grow with the corpus.  Decoding concatenates
-the pieces of the ids.
+over each distinct word's bytes once: a word starts as an array of its bytes' ids, and each step joins the
+neighbours whose union has the least rank in a literal rank map, until no neighbours are in it.  Ids are then
+laid out by each document's word numbers.  Nothing is shuffled, and the work per split does not grow with the
+corpus.  Decoding concatenates the binary pieces of the ids.
 
-Bytes are held as characters U+0000 to U+00FF of strings.  The rank map is an array of small maps indexed by
-a checksum of the piece, so that a look-up does not walk 50,000 keys.
+The rank map is an array of small maps indexed by a remainder of the pair of ids, so that a look-up does not
+walk 100,000 keys.  A word's array has one long number for each piece: from the highest bits, the rank of
+its union with the next one, the place of its first byte, its id.  So the least number is the next merge.
 
 Cases: null and empty texts give no tokens and decode to an empty text; a null id stays null; repeated rows
 are each encoded; an empty table gives an empty result; other columns are ignored.  Any text is encodable
-if the vocabulary has all 256 bytes, which is checked.
+if the vocabulary has all 256 bytes, which is checked.  A very long text is one row like any other; the time of
+one word (a run without a boundary of the pattern) grows with the square of its length, up to 16 MB.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ from quire.llm.common import shield
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-BUCKETS = 1 << 16
+BUCKETS = 32_749
+_AT, _RANK = 20, 44  # the first bits of a piece's place and of its rank
+_ID, _LOW = (1 << _AT) - 1, (1 << _RANK) - 1
+_NONE = (1 << 19) - 1  # the rank of a pair that is no piece
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -42,62 +46,82 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """array<map<piece, rank>>, a literal once the plan is optimised."""
+    """array<map<pair of ids, rank>>, a literal once the plan is optimised."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        at = piece.decode("latin-1")
-        buckets[zlib.crc32(at.encode()) % BUCKETS][at] = rank
-    return F.from_json(F.lit(json.dumps([b or None for b in buckets], ensure_ascii=False, separators=(",", ":"))), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pair = a << _AT | b
+                buckets[pair % BUCKETS][str(pair)] = rank
+    return F.from_json(F.lit(json.dumps([b or None for b in buckets], separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,bigint>>")
+
+
+def byte_ids(ranks: dict[bytes, int]) -> Column:
+    return F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<bigint>")
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
+    """array<binary>, the bytes of each id."""
     pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False, separators=(",", ":"))), "array<string>")
+        pieces[rank] = base64.b64encode(piece).decode()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
 
 
 def _let(value: Column, then) -> Column:
     """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
+    return F.aggregate(F.from_json(F.lit("[]"), "array<int>"), value, lambda x, _: x, then)
+
 
+def _big(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
-def fold(word: Column, ranks: Column) -> Column:
+
+def fold(word: Column, ranks: Column, singles: Column) -> Column:
     """The ids of a word: merges folded over its bytes."""
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(ranks, (F.crc32(piece) % BUCKETS).cast("int")), piece)
+    def rank(a: Column, b: Column) -> Column:
+        pair = a * (1 << _AT) + b
+        return F.coalesce(F.try_element_at(F.get(ranks, (pair % BUCKETS).cast("int")), pair), _big(_NONE))
 
-    def step(state: Column, _: Column) -> Column:
-        pieces, r = state["p"], state["r"]
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(_big(_ID))
 
-        def merge(i: Column) -> Column:
-            def joined(x: Column) -> Column:
-                left = F.when(i > 1, F.concat(F.slice(r, 1, i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), x))))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i < F.size(r), F.concat(F.array(rank(F.concat(x, F.get(pieces, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(F.concat(F.slice(pieces, 1, i - 1), F.array(x), F.slice(pieces, i + 2, F.size(pieces))).alias("p"), F.concat(left, right).alias("r"))
+    def step(v: Column, _: Column) -> Column:
+        def merge(least: Column) -> Column:
+            def at(i: Column) -> Column:
+                left, right, new = F.get(v, i - 2), F.get(v, i), F.shiftright(least, _RANK)
+                first = left.bitwiseAND(_big(_LOW)) + F.shiftleft(rank(id_of(left), new), _RANK)
+                second = least.bitwiseAND(_big(_LOW - _ID)) + new + F.shiftleft(rank(new, id_of(F.get(v, i + 1))), _RANK)
+                rest = F.array_remove(F.array_remove(F.array_remove(v, right), least), left)  # each is there once: places differ
+                return F.array_insert(F.array_insert(rest, i - 1, second), i - 1, first)
 
-            return F.when(i.isNull(), state).otherwise(_let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), joined))
+            return F.when(least >= _big(_NONE << _RANK), v).otherwise(_let(F.array_position(v, least).cast("int"), at))
 
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), merge)
+        return _let(F.array_min(v), merge)
 
     def spread(bytes_: Column) -> Column:
         n = F.length(bytes_)
-        singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bytes_, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(bytes_, i, F.lit(2))))
-        start = F.struct(singles.alias("p"), pairs.alias("r"))
-        return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["p"], rank)
 
-    def encode(bytes_: Column) -> Column:
-        return _let(rank(bytes_), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(spread(bytes_)))
+        def start(ids: Column) -> Column:
+            body = F.transform(ids, lambda x, i: x + (i + 1).cast("bigint") * (1 << _AT) + F.shiftleft(F.when(i + 1 < n, rank(x, F.get(ids, i + 1))).otherwise(_big(_NONE)), _RANK))
+            edge = lambda at: F.array(F.lit((_NONE << _RANK) + (at << _AT) + _ID))
+            return F.concat(edge(0), body, edge((1 << (_RANK - _AT)) - 1))
+
+        ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(singles, F.ascii(F.substring(bytes_, i, F.lit(1)))))
+        folded = F.aggregate(F.slice(F.sequence(F.lit(1), n), F.lit(2), n), _let(ids, start), step)
+        return F.transform(_let(folded, lambda v: F.slice(v, F.lit(2), F.size(v) - 2)), lambda x: id_of(x).cast("int"))
 
-    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), encode)
+    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), spread)
 
 
 def decode(ids: Column, pieces: Column) -> Column:
-    """The text of ids: the pieces' bytes one after the other."""
-    joined = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
-    return F.encode(joined, "ISO-8859-1").cast("string")
+    """The text of ids: their binary pieces one after the other, joined by runs of about the root of their number."""
+    join = lambda parts, part: F.aggregate(parts, F.lit(b""), lambda done, x: F.concat(done, part(x)))
+    run = F.ceil(F.sqrt(F.size(ids) + F.lit(1))).cast("int")
+    runs = _let(run, lambda k: F.transform(F.sequence(F.lit(1), F.size(ids) + 1, k), lambda a: join(F.slice(ids, a, k), lambda i: F.get(pieces, i))))
+    return join(runs, lambda x: x).cast("string")
 
 
 def _sliced(batches, rows: int = 500):
@@ -159,6 +183,6 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     words = shield(docs).picked().select("doc_id", F.xxhash64(text).alias("sum"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("words"))
     numbered = words.mapInArrow(_number, "doc_id bigint, sum bigint, at array<int>, fresh array<string>")
     # the map is bound once, so that a plan holds one copy of the literal
-    folded = numbered.select("doc_id", "sum", "at", _let(rank_map(ranks), lambda merges: F.transform("fresh", lambda w: fold(w, merges))).alias("ids"))
+    folded = numbered.select("doc_id", "sum", "at", _let(rank_map(ranks), lambda merges: F.transform("fresh", lambda w: fold(w, merges, byte_ids(ranks)))).alias("ids"))
     laid = folded.mapInArrow(_lay, "doc_id bigint, sum bigint, tokens array<int>")
     return laid.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (F.xxhash64(decode(F.col("tokens"), piece_list(ranks))) == F.col("sum")).alias("round_trip"))
