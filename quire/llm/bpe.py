@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import kernel as K
 from quire.llm.common import shield
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -181,8 +182,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ranks = read_ranks(vocabulary)
     text = F.coalesce(F.col("text"), F.lit(""))
     words = shield(docs).picked().select("doc_id", F.xxhash64(text).alias("sum"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("words"))
-    numbered = words.mapInArrow(_number, "doc_id bigint, sum bigint, at array<int>, fresh array<string>")
+    numbered = words.mapInArrow(K.tidied(_number), "doc_id bigint, sum bigint, at array<int>, fresh array<string>")
     # the map is bound once, so that a plan holds one copy of the literal
     folded = numbered.select("doc_id", "sum", "at", _let(rank_map(ranks), lambda merges: F.transform("fresh", lambda w: fold(w, merges, byte_ids(ranks)))).alias("ids"))
-    laid = folded.mapInArrow(_lay, "doc_id bigint, sum bigint, tokens array<int>")
+    laid = folded.mapInArrow(K.tidied(_lay), "doc_id bigint, sum bigint, tokens array<int>")
     return laid.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), (F.xxhash64(decode(F.col("tokens"), piece_list(ranks))) == F.col("sum")).alias("round_trip"))

@@ -81,7 +81,7 @@ class Shield:
         return self.rows.select(self.key("doc_id"), self.key("text_hash"), self.col("text").alias("text"))
 
     def key(self, name: str):
-        return (F.coalesce(self.col("doc_id"), F.lit(NULL_ID)) if name == "doc_id" else F.hash(self.col("text"))).alias(name)
+        return (F.coalesce(self.col("doc_id"), F.lit(NULL_ID)) if name == "doc_id" else F.xxhash64(self.col("text"))).alias(name)
 
     def restore(self, df: DataFrame) -> DataFrame:
         return df.select(*[f"in{i}" for i in range(len(self.names))]).toDF(*self.names)

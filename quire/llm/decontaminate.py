@@ -120,7 +120,7 @@ def _joined(sealed: Shield, grams: DataFrame, n: int) -> DataFrame:
                 take = pa.array(doc + tokens.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - tokens.offsets[doc]).astype(np.int32)), pa.array(keys[at].view(np.int64))], ["doc_id", "text_hash", "place", "h"])
 
-    hits = sealed.keyed().mapInArrow(windows, "doc_id bigint, text_hash int, place int, h bigint").join(grams, "h").distinct()
+    hits = sealed.keyed().mapInArrow(windows, "doc_id bigint, text_hash bigint, place int, h bigint").join(grams, "h").distinct()
     spots = stored(hits.groupBy(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash")).agg(F.collect_list(F.struct("place", "gram", "item_id")).alias("q_spots")))
 
     @F.arrow_udf(RESULT)

@@ -8,12 +8,50 @@ than ASCII white space).  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 WORDS, FIELDS = "words", "fields"
+_MMAP_THRESHOLD = -3
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps its own ways
+        return None
+
+
+def _own_pages() -> None:
+    """Arrays of a megabyte and more get pages of their own, which go back to the system when they are freed."""
+    if hasattr(libc := _libc(), "mallopt"):
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+
+
+def tidy() -> None:
+    """Gives freed memory back: a worker idles on after its task, beside those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := _libc(), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+_own_pages()
+
+
+def tidied(run):
+    """run (batches to batches), with the memory given back at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
 
 _alnum = np.zeros(256, bool)
 _alnum[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -6,6 +6,10 @@ window of LENGTH words holds one at a place that depends only on the window's wo
 occur twice can lie in a recurring window.  The stretches around those - every window that chose the minimiser,
 at most LENGTH + W - 1 words - go to the shard of the minimiser, so that all occurrences of a window meet in
 one shard, whole.  A stretch's words travel as hashes of 32 bits; windows are compared by all their words.
+
+Hot minimisers never meet in one task.  Occurrences are counted with one row for each batch of documents, and a
+minimiser with more than ``HOT`` of them sends no stretches: its windows are sharded by their own content (64-bit
+hashes), again with one row for each batch, the first occurrence there; the batch's others are known to be later.
 """
 
 from __future__ import annotations
@@ -16,60 +20,124 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, release, stored
+from quire.llm.common import Shield, discard, release, small, stored
 
 LENGTH = 50
 K_WORDS = 16
-#: Stretches that a shard works on at a time (more only if one minimiser has more).
-AT_A_TIME = 150_000
-SEGMENT = "key bigint, doc_id bigint, text_hash int, place int, words binary"
+#: Stretches that a shard works on at a time (more only if one minimiser has more, at most HOT).
+AT_A_TIME = 20_000
+HOT = 20_000
+SALTS = 64
+#: kind 0: a stretch; 1: the first place in a batch of a window of a hot minimiser (n: its places there); 2: later copies, n words long (words: the 8 bytes of an id with an earlier one).
+SEGMENT = "key bigint, kind int, doc_id bigint, text_hash bigint, place int, n int, words binary"
+FOUND = "doc_id bigint, text_hash bigint, start int, end int, later boolean, source bigint"
 
 
 def _mark(length: int):
+    """Rows of minimisers; those of a batch's own recurring ones are known to recur (weight 2, any salt), and one row stands for them in the count."""
+
     def run(batches):
+        turn = 0
         for batch in batches:
-            texts = K.as_strings(batch.column(2))
+            texts, parts = K.as_strings(batch.column(2)), []
             for lo, hi in K.chunks(texts):
                 tokens = K.tokenize(texts, lo, hi, K.FIELDS)
                 place, key, first, last = K.anchors(tokens, K_WORDS, length - K_WORDS + 1)
                 if len(place):
                     doc = np.searchsorted(tokens.offsets, place, "right") - 1
-                    take = pa.array(doc + lo)
                     base = tokens.offsets[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *[pa.array((x - base).astype(np.int32)) for x in (first, last)]], ["key", "doc_id", "text_hash", "first", "last"])
+                    parts.append((key, doc + lo, (first - base).astype(np.int32), (last - base).astype(np.int32)))
+            if not parts:
+                continue
+            key, doc, first, last = (np.concatenate(x) for x in zip(*parts))
+            one, at, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            many = times[back] > 1
+            salt = np.where(many, 1 + (np.arange(len(key)) + turn) % SALTS, 0).astype(np.int32)
+            stand = np.flatnonzero(times > 1)
+            take = pa.array(np.r_[doc, doc[at[stand]]])
+            key = np.r_[key, one[stand]]
+            columns = [np.r_[salt, np.zeros(len(stand), np.int32)], np.r_[np.where(many, 2, 1), times[stand]].astype(np.int64), np.r_[first, np.full(len(stand), -1, np.int32)], np.r_[last, np.full(len(stand), -1, np.int32)]]
+            turn += len(salt)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], ["key", "doc_id", "text_hash", "salt", "weight", "first", "last"])
 
     return run
 
 
+def _hot_windows(length: int, short: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, first: np.ndarray):
+    """(hash, row of the batch, place) of every window of the given stretches (words a to b of short)."""
+    size = b - a - length + 1
+    keys = K.ngrams(K.mix(short.astype(np.uint64) + np.uint64(1)), length)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return keys[np.repeat(a, size) + step], np.repeat(doc, size), np.repeat(first, size) + step
+
+
 def _cut(length: int):
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+
     def run(batches):
         for batch in batches:
             texts, spots = K.as_strings(batch.column(2)), batch.column(3)
-            first, last, key = (spots.flatten().field(i).to_numpy() for i in range(3))
-            at = np.r_[0, np.cumsum(spots.value_lengths().to_numpy(zero_copy_only=False))]
+            first, last, key, hot = (spots.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            at, windows = np.r_[0, np.cumsum(spots.value_lengths().to_numpy(zero_copy_only=False))], []
             for lo, hi in K.chunks(texts):
                 tokens = K.tokenize(texts, lo, hi, K.FIELDS)
                 short = tokens.hashes.astype(np.uint32)
                 doc = np.repeat(np.arange(lo, hi), np.diff(at[lo : hi + 1]))
-                mine = slice(at[lo], at[hi])
+                mine = np.arange(at[lo], at[hi])
                 a = tokens.offsets[doc - lo] + first[mine]
                 b = tokens.offsets[doc - lo] + last[mine] + length
-                words = [short[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key[mine]), batch.column(0).take(take), batch.column(1).take(take), pa.array(first[mine]), pa.array(words, pa.binary())], ["key", "doc_id", "text_hash", "place", "words"])
+                few = ~hot[mine]
+                if not few.all():
+                    windows.append(_hot_windows(length, short, a[~few], b[~few], doc[~few], first[mine][~few]))
+                words = [short[i:j].tobytes() for i, j in zip(a[few].tolist(), b[few].tolist())]
+                take, none = pa.array(doc[few]), np.zeros(few.sum(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key[mine][few]), pa.array(none), batch.column(0).take(take), batch.column(1).take(take), pa.array(first[mine][few]), pa.array(none), pa.array(words, pa.binary())], names)
+            if windows:
+                yield from _thinned(batch, length, names, *(np.concatenate(x) for x in zip(*windows)))
 
     return run
 
 
-def segments(sealed: Shield, length: int = LENGTH) -> DataFrame:
+def _thinned(batch: pa.RecordBatch, length: int, names: list[str], key: np.ndarray, row: np.ndarray, place: np.ndarray):
+    """One row of kind 1 for each different window of a batch, and rows of kind 2 for the runs of its other places."""
+    ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    order = np.lexsort((place, hashes[row], ids[row], key))
+    key, row, place = key[order], row[order], place[order]
+    same_key = np.r_[False, key[1:] == key[:-1]]
+    again = np.r_[False, same_key[1:] & (ids[row[1:]] == ids[row[:-1]]) & (hashes[row[1:]] == hashes[row[:-1]]) & (place[1:] == place[:-1])]  # a row twice
+    key, row, place, same_key = key[~again], row[~again], place[~again], same_key[~again]
+    start = np.flatnonzero(~same_key)
+    rest = np.flatnonzero(same_key)
+    rest = rest[np.lexsort((place[rest], row[rest]))]
+    source = ids[row[np.maximum.accumulate(np.where(same_key, 0, np.arange(len(key))))]][rest]
+    new = np.r_[True, (row[rest][1:] != row[rest][:-1]) | (place[rest][1:] != place[rest][:-1] + 1)] if len(rest) else np.zeros(0, bool)
+    run = np.flatnonzero(new)
+    ends = np.r_[run[1:], len(rest)][: len(run)] - 1
+    pick = np.r_[start, rest[run]]
+    kind = np.r_[np.ones(len(start), np.int32), np.full(len(run), 2, np.int32)]
+    n = np.r_[np.diff(np.r_[start, len(key)]), place[rest[ends]] - place[rest[run]] + length].astype(np.int32)
+    take = pa.array(row[pick])
+    yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), pa.array(place[pick].astype(np.int32)), pa.array(n), pa.array([None] * len(start) + [x.tobytes() for x in source[run]], pa.binary())], names)
+
+
+def segments(sealed: Shield, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The stretches (SEGMENT) around recurring minimisers, sharded by minimiser and in its order."""
-    rows = sealed.keyed()
-    marks = rows.mapInArrow(_mark(length), "key bigint, doc_id bigint, text_hash int, first int, last int")
-    marks = marks.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    spots = stored(marks.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "key")).alias("spots")))
-    release(sealed.rows.sparkSession)
+    rows, spark = sealed.keyed(), sealed.rows.sparkSession
+    marks = rows.mapInArrow(K.tidied(_mark(length)), "key bigint, doc_id bigint, text_hash bigint, salt int, weight bigint, first int, last int")
+    # no window has more rows than there are batches: a batch's own copies stand under salts, and pass in any case
+    marks = stored(marks.withColumn("n", F.sum("weight").over(Window.partitionBy("key", "salt"))).where("n > 1").select("key", "doc_id", "text_hash", "first", "last", F.when(F.col("salt") == 0, F.col("n")).alias("n")))
+    release(spark)
+    many = stored(marks.where(F.col("n") > hot).select("key").distinct())
+    if many.isEmpty():
+        spots = marks.withColumn("hot", F.lit(False))
+    else:
+        spots = marks.join(small(many.withColumn("hot", F.lit(True)), 16), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spots = stored(spots.where("first >= 0").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "key", "hot")).alias("spots")))
+    for table in (marks, many):
+        discard(table)
+    release(spark)
     found = rows.join(spots, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spots")
-    return found.mapInArrow(_cut(length), SEGMENT).repartition("key").sortWithinPartitions("key")
+    return found.mapInArrow(K.tidied(_cut(length)), SEGMENT).repartition("key").sortWithinPartitions("key", "kind", "doc_id", "text_hash", "place")
 
 
 class Stretches:
@@ -98,13 +166,39 @@ class Stretches:
         return (self.doc[s] == self.doc[t]) & (self.hash[s] == self.hash[t]) & (self.position[a] == self.position[b])
 
 
+def _streamed(batch: pa.RecordBatch, length: int, state: list):
+    """FOUND of rows of kinds 1 and 2, which come in order of window and place; state: the last window's first row and whether it was given."""
+    kind, key, n = (batch.column(c).to_numpy() for c in ("kind", "key", "n"))
+    doc, hash_, place, words = *(batch.column(c).to_numpy() for c in ("doc_id", "text_hash", "place")), batch.column("words")
+    out = []
+    for i in range(batch.num_rows):
+        if kind[i] == 2:  # its first copy is in the same batch of documents, found by the rows of kind 1
+            out.append((doc[i], hash_[i], place[i], place[i] + n[i], True, int.from_bytes(words[i].as_py(), "little", signed=True)))
+            continue
+        at = (int(doc[i]), int(hash_[i]), int(place[i]), int(place[i]) + length)
+        if not state or state[0] != key[i]:
+            state[:] = [key[i], at, False]
+        if (n[i] > 1 or state[1][:3] != at[:3]) and not state[2]:
+            state[2] = True
+            out.append((*state[1], False, None))
+        if state[1][:3] != at[:3]:
+            out.append((*at, True, state[1][0]))
+    if out:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in FOUND.split(", ")])
+
+
 def by_shard(work, length: int):
-    """Calls work(Stretches) on whole minimisers, some AT_A_TIME stretches at once."""
+    """Calls work(Stretches) on whole minimisers, some AT_A_TIME stretches at once; rows of hot minimisers stream through."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last, state = 0, None, []
         for batch in batches:
+            hot = batch.column(1).to_numpy() > 0
+            if hot.any():
+                yield from _streamed(batch.filter(pa.array(hot)), length, state)
+                batch = batch.filter(pa.array(~hot))
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
@@ -122,7 +216,7 @@ def by_shard(work, length: int):
         if held:
             yield from work(Stretches(held, length))
 
-    return run
+    return K.tidied(run)
 
 
 def union_of(spans) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm import kernel as K
 from quire.llm.common import null_id, release, shield, stored
 from quire.llm.decontaminate import retexted
-from quire.llm.passages import LENGTH, Stretches, by_shard, segments, union_of, without
+from quire.llm.passages import FOUND, HOT, LENGTH, Stretches, by_shard, segments, union_of, without
 
 
 def passages(s: Stretches, words: np.ndarray) -> list[tuple[int, ...]]:
@@ -79,26 +79,26 @@ def _occurrences(s: Stretches):
     first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     f = stretch[first]
     later = ~((s.doc[stretch] == s.doc[f]) & (s.hash[stretch] == s.hash[f]) & (start == start[first]))
-    yield pa.RecordBatch.from_arrays([pa.array(s.doc[stretch]), pa.array(s.hash[stretch]), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array(later)], ["doc_id", "text_hash", "start", "end", "later"])
+    yield pa.RecordBatch.from_arrays([pa.array(s.doc[stretch]), pa.array(s.hash[stretch]), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array(later), pa.array(s.doc[f])], ["doc_id", "text_hash", "start", "end", "later", "source"])
 
 
-def _found(docs: DataFrame, length: int) -> DataFrame:
+def _found(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """(doc_id, text_hash, passages, removed): ranges of words of all occurrences and of the later ones."""
-    rows = segments(shield(docs), length).mapInArrow(by_shard(_occurrences, length), "doc_id bigint, text_hash int, start int, end int, later boolean")
+    rows = segments(shield(docs), length, hot).mapInArrow(by_shard(_occurrences, length), FOUND)
     span = F.struct("start", "end")
     rows = rows.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("p"), F.collect_set(F.when(F.col("later"), span)).alias("r"))
     return rows.select("doc_id", "text_hash", union_of("p").alias("passages"), union_of("r").alias("removed"))
 
 
-def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def occurrences(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Every document that holds a recurring passage: doc_id, passages and removed (the later occurrences), as ranges of words."""
-    return _found(docs, length).select(null_id(F.col("doc_id")).alias("doc_id"), "passages", "removed")
+    return _found(docs, length, hot).select(null_id(F.col("doc_id")).alias("doc_id"), "passages", "removed")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The documents with their own columns and the later occurrences cut (n_chars, if there, set anew)."""
     sealed = shield(docs)
-    gone = stored(_found(docs, length).where(F.size("removed") > 0).select(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash"), "removed"))
+    gone = stored(_found(docs, length, hot).where(F.size("removed") > 0).select(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash"), "removed"))
     release(docs.sparkSession)
     rows = sealed.rows.withColumns({"q_id": sealed.key("doc_id"), "q_hash": sealed.key("text_hash")}).join(gone, ["q_id", "q_hash"], "left")
     rows = rows.withColumn("q_text", F.when(F.col("removed").isNotNull(), without(sealed.col("text"), F.col("removed"))))

@@ -10,7 +10,8 @@ scan of all documents without a shuffle.
 
 Cases: null and empty texts, and any without a word, are not toxic; nor is one whose words all have no
 weight (the threshold stays above the intercept); a label that is null is no label; a document with several labels is toxic if any says so; repeated documents are each scored;
-without labels every score is 0.5 and nothing is toxic; extra columns stay.
+without labels every score is 0.5 and nothing is toxic; an empty documents table gives an empty result; a very long
+text is scored whole, by all its features; extra columns stay.
 """
 
 from __future__ import annotations
@@ -43,18 +44,18 @@ def features(tokens: K.Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bags(texts: pa.Array):
-    """For every document in turn, its distinct features."""
+    """For every document in turn, its distinct features, a view of 4 bytes each."""
     for lo, hi in K.chunks(texts):
         docs, feats = features(K.tokenize(texts, lo, hi))
         both = np.unique((docs.astype(np.int64) << BITS) | feats)
         edges = np.searchsorted(both, np.arange(hi - lo + 1, dtype=np.int64) << BITS)
-        both &= DIMS - 1
+        small = (both & (DIMS - 1)).astype(np.int32)
         for i in range(hi - lo):
-            yield both[edges[i] : edges[i + 1]]
+            yield small[edges[i] : edges[i + 1]]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float, float]:
-    """(weights, intercept, threshold on the sum) from (features, label) in a fixed order."""
+    """(weights, intercept, threshold on the sum) from (features, label) in a fixed order; every bag has the intercept, DIMS, too."""
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
 
     def weights(at):
@@ -64,9 +65,11 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
         return w
 
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    train = [(np.append(f, DIMS), y) for i, (f, y) in enumerate(rows) if i % 5 != 4]
     for _ in range(epochs):
-        for at, y in train:
+        for i, (bag, y) in enumerate(rows):
+            if i % 5 == 4:
+                continue
+            at = np.append(bag, DIMS)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
             before = n[at]
@@ -93,18 +96,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     rows = shield(docs).picked().where("doc_id IS NOT NULL").join(F.broadcast(wanted), "doc_id")  # at most max_rows ids
 
     def run(batches):
-        data, order = [], []
+        data = []
         for batch in batches:
-            for y, t, bag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), bags(K.as_strings(batch.column(0)))):
-                data.append((bag, int(y > 0)))
-                order.append(t)
+            data += [(bag, int(y > 0)) for y, bag in zip(batch.column(1).to_pylist(), bags(K.as_strings(batch.column(0))))]
+        K.tidy()
         if data:
             w, b, cut = fit(data)
-            at = np.flatnonzero(w)
+            data, at = [], np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[w[at], b, cut])], ["feature", "weight"])
 
-    one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", "text").select("text", "toxic", "turn")
-    got = one.mapInArrow(run, "feature bigint, weight double").toPandas()
+    one = rows.repartition(1).sortWithinPartitions("turn", "doc_id", "text").select("text", "toxic")
+    got = one.mapInArrow(K.tidied(run), "feature bigint, weight double").toPandas()
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), 0.0, np.inf
     at, w = got["feature"].to_numpy(), got["weight"].to_numpy()
@@ -130,6 +132,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tupl
             hit = used[feats]
             both = np.unique((docs[hit].astype(np.int64) << BITS) | feats[hit])
             out[lo:hi] += np.bincount(both >> BITS, table[both & (DIMS - 1)], hi - lo)
+        K.tidy()
         return pa.array(out)
 
     return sealed, sealed.rows.withColumn("q", score(sealed.col("text"))), cut

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from quire.llm import kneser_ney, phrase_automata, simhash, suffix_dedup
+from quire.llm.passages import Stretches
 from tests.llm.conftest import prose, same_rows
 
 L = 50
@@ -61,9 +62,11 @@ def passages():
     return rows
 
 
-def test_suffix_dedup_finds_all_later_copies(docs, passages):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_finds_all_later_copies(docs, passages, hot):
+    """With hot=1 every minimiser goes the way of the hot ones."""
     later, _ = repeated(passages)
-    got = suffix_dedup.later_copies(docs(passages)).collect()
+    got = suffix_dedup.later_copies(docs(passages).repartition(5), hot=hot).collect()
     assert {r.doc_id: covered(r.removed) for r in got} == later
     assert all(r.words_removed == len(later[r.doc_id]) for r in got) and all(r.sources for r in got if r.doc_id in (73, 74))
 
@@ -83,12 +86,14 @@ def test_sources_are_those_of_every_window(docs, passages):
     assert got[3] == {1, 2}
 
 
-def test_phrase_automata_find_every_occurrence(docs, passages):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_phrase_automata_find_every_occurrence(docs, passages, hot):
     later, every = repeated(passages)
-    got = {r.doc_id: r for r in phrase_automata.occurrences(docs(passages)).collect()}
+    rows = docs(passages).repartition(5)
+    got = {r.doc_id: r for r in phrase_automata.occurrences(rows, hot=hot).collect()}
     assert {d: covered(r.passages) for d, r in got.items()} == every
     assert {d: covered(r.removed) for d, r in got.items() if r.removed} == later
-    out = {r.doc_id: r.text for r in phrase_automata.dedup(docs(passages)).collect()}
+    out = {r.doc_id: r.text for r in phrase_automata.dedup(rows, hot=hot).collect()}
     assert len(out) == len(passages)
     for doc, text in passages:
         words = (text or "").split()
@@ -120,6 +125,24 @@ def test_passage_cuts_keep_odd_rows(odd, clashing):
     assert phrase_automata.dedup(odd.limit(0)).count() == simhash.dedup(odd.limit(0)).count() == 0
 
 
+def test_longest_previous_factors():
+    """LPF arrays against all pairs of suffixes, by place in the corpus."""
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = draw.integers(1, 14, draw.integers(1, 9))
+        at, words = np.r_[0, np.cumsum(sizes)], draw.integers(0, 3, sizes.sum()).astype(np.uint32)
+        ids = draw.permutation(len(sizes)).astype(np.int64)
+        rows = pa.table({"key": ids * 0, "kind": ids * 0, "doc_id": ids, "text_hash": ids * 0, "place": draw.integers(0, 9, len(sizes)).astype(np.int32), "n": ids * 0, "words": pa.array([words[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())})
+        s = Stretches(rows.to_batches(), 1)
+        spot = [(ids[k], s.place[k] + i - at[k]) for k in range(len(sizes)) for i in range(at[k], at[k + 1])]
+        tail = [words[i : at[k + 1]].tolist() for k in range(len(sizes)) for i in range(at[k], at[k + 1])]
+        shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = {i: max((shared(tail[i], tail[j]) for j in range(len(tail)) if spot[j] < spot[i]), default=0) for i in range(len(tail))}
+        suffix, lpf, source = suffix_dedup.factors(s, 2)
+        assert dict(zip(suffix.tolist(), lpf.tolist())) == {i: n for i, n in want.items() if n >= 2}
+        assert all(spot[j] < spot[i] and shared(tail[i], tail[j]) >= 2 for i, j in zip(suffix, source))
+
+
 # SimHash ------------------------------------------------------------------------------------------------------
 
 
