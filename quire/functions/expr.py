@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.schema import CONTROL, FIELD
@@ -24,7 +24,7 @@ def fields_of_any(tags: Iterable[str], fields: str | Column = "fields") -> Colum
     """Fields of several tags, tag by tag in the order given."""
     listed = F.array(*[F.lit(t) for t in tags])
     fields = F.col(fields) if isinstance(fields, str) else fields
-    return F.flatten(F.transform(listed, lambda t: F.filter(fields, lambda f: f["tag"] == t)))
+    return let(fields, lambda fs: F.flatten(F.transform(listed, lambda t: F.filter(fs, lambda f: f["tag"] == t))))
 
 
 def values_of(field: Column, *codes: str) -> Column:
@@ -88,8 +88,13 @@ def display(field: Column) -> Column:
 
 def by_code(field: Column) -> Column:
     """Values grouped by code, codes in order: array of (code, values)."""
-    codes = F.array_sort(F.array_distinct(field["subfields"]["code"]))
-    return F.transform(codes, lambda c: F.struct(c.alias("code"), F.filter(field["subfields"], lambda s: s["code"] == c)["value"].alias("values")))
+
+
+    def grouped(subs: Column) -> Column:
+        codes = F.array_sort(F.array_distinct(subs["code"]))
+        return F.transform(codes, lambda c: F.struct(c.alias("code"), F.filter(subs, lambda s: s["code"] == c)["value"].alias("values")))
+
+    return let(field["subfields"], grouped)
 
 
 def subfield(code: str, value: Column) -> Column:
@@ -108,22 +113,30 @@ def field(tag: str, ind1: str | Column, ind2: str | Column, subs: Column) -> Col
 
 def regroup(fields: Column) -> Column:
     """Fields grouped by tag in the order tags first appear, with tag_rank and occ set anew."""
-    tags = F.array_distinct(fields["tag"])
-    return F.flatten(
-        F.transform(
-            tags,
-            lambda t, rank: F.transform(
-                F.filter(fields, lambda f: f["tag"] == t),
-                lambda f, occ: F.struct(t.alias("tag"), rank.alias("tag_rank"), occ.alias("occ"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), f["subfields"].alias("subfields")),
-            ),
+
+
+    def grouped(fields: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.array_distinct(fields["tag"]),
+                lambda t, rank: F.transform(
+                    F.filter(fields, lambda f: f["tag"] == t),
+                    lambda f, occ: F.struct(t.alias("tag"), rank.alias("tag_rank"), occ.alias("occ"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), f["subfields"].alias("subfields")),
+                ),
+            )
         )
-    ).cast(f"array<{FIELD}>")
+
+    return let(fields, grouped).cast(f"array<{FIELD}>")
 
 
 def regroup_control(values: Column) -> Column:
     """Control fields grouped by tag in first-seen order, with occ set anew."""
-    tags = F.array_distinct(values["tag"])
-    return F.flatten(F.transform(tags, lambda t: F.transform(F.filter(values, lambda c: c["tag"] == t), lambda c, occ: F.struct(t.alias("tag"), occ.alias("occ"), c["value"].alias("value"))))).cast(f"array<{CONTROL}>")
+
+
+    def grouped(values: Column) -> Column:
+        return F.flatten(F.transform(F.array_distinct(values["tag"]), lambda t: F.transform(F.filter(values, lambda c: c["tag"] == t), lambda c, occ: F.struct(t.alias("tag"), occ.alias("occ"), c["value"].alias("value")))))
+
+    return let(values, grouped).cast(f"array<{CONTROL}>")
 
 
 def is_control_tag(tag: Column) -> Column:
@@ -132,4 +145,9 @@ def is_control_tag(tag: Column) -> Column:
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), then), 0)
+    return F.aggregate(F.from_json(F.lit("[]"), "array<int>"), value, lambda x, _: x, then)
+
+
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with the values as columns that later expressions read rather than compute again (a generator is not inlined)."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))

@@ -23,7 +23,7 @@ def occurrence_of(field: Column) -> Column:
 
 def linked_fields(field: Column) -> Column:
     """All 880 fields with the field's occurrence number (their tag part is not compared)."""
-    return F.filter(E.fields_of("880"), lambda f: F.coalesce(occurrence_of(f) == occurrence_of(field), F.lit(False)))
+    return E.let(occurrence_of(field), lambda at: F.filter(E.fields_of("880"), lambda f: F.coalesce(occurrence_of(f) == at, F.lit(False))))
 
 
 def linked_field(field: Column) -> Column:
@@ -32,8 +32,7 @@ def linked_field(field: Column) -> Column:
 
 def original_field(field: Column) -> Column:
     """The first field that an 880 stands for: tag and occurrence both agree; null for any other field."""
-    at = linkage_of(field)
-    found = F.filter("fields", lambda f: F.coalesce((f["tag"] == at["tag"]) & (occurrence_of(f) == at["occurrence"]), F.lit(False)))
+    found = E.let(linkage_of(field), lambda at: F.filter("fields", lambda f: F.coalesce((f["tag"] == at["tag"]) & (occurrence_of(f) == at["occurrence"]), F.lit(False))))
     return F.when(field["tag"] == "880", F.get(found, 0))
 
 

@@ -247,7 +247,9 @@ for _name, _value, _sql in (
 
 def framed(records: DataFrame, kind: str = "bib") -> DataFrame:
     """Records as bytes, as a scan would give them."""
-    return I.encoded(records, kind).select("rec_id", F.lit("testkit").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), "raw")
+    rows = I.encoded(records, kind).select(F.col("rec_id").alias("id"), F.col("raw").alias("bytes"))
+    rows = E.once(rows, rec_id=F.col("id"), raw=F.col("bytes"))
+    return rows.select("rec_id", F.lit("testkit").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), "raw")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def parse_slow(raw: Column, kind: str = "bib", mode: str = "permissive", validat
     def run(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else salvage(x, kind, mode, validation) for x in column.to_pylist()], target)
 
-    return run(raw)
+    return run.asNondeterministic()(raw)  # so that it stays a column of its own, never a part of a filter or a generator
 
 
 # the fast reader ----------------------------------------------------------------------------------------------
@@ -286,9 +286,9 @@ def parse(frames: DataFrame, kind: str = "bib", mode: str = "permissive", valida
     """
     frames = frames.where(F.octet_length("raw") >= 24)
     if kind == "bib" and validation == "structural":
-        rows = frames.withColumn("q_fast", F.when(is_clean(F.col("raw")), parse_fast(F.col("raw"))))
-        rows = rows.withColumn("q_ok", F.coalesce(F.col("q_fast.whole"), F.lit(False)))
-        rows = rows.withColumn("q_slow", parse_slow(F.when(~F.col("q_ok"), F.col("raw")), kind, mode, validation))
+        rows = E.once(frames, q_fast=F.when(is_clean(F.col("raw")), parse_fast(F.col("raw"))))
+        rows = E.once(rows, q_ok=F.coalesce(F.col("q_fast.whole"), F.lit(False)), q_doubt=F.when(~F.coalesce(F.col("q_fast.whole"), F.lit(False)), F.col("raw")))
+        rows = rows.withColumn("q_slow", parse_slow(F.col("q_doubt"), kind, mode, validation))
         pick = lambda name: F.when(F.col("q_ok"), F.col(f"q_fast.{name}")).otherwise(F.col(f"q_slow.{name}"))
         errors = F.coalesce(F.col("q_slow.errors"), F.array().cast(f"array<{ERROR}>"))
     else:

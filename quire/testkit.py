@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where a table of few row groups has fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def leader(record_type: Column | str = "a", level: Column | str = "m", status: str = "n", coding: str = "a") -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     values = {"record_length": 0, "record_status": status, "record_type": record_type, "bibliographic_level": level, "control_record_type": " ", "character_coding": coding, "indicator_count": 2, "subfield_code_count": 2, "data_base_address": 0, "encoding_level": " ", "cataloging_form": "a", "multipart_level": " ", "reserved": "4500"}
@@ -24,10 +30,11 @@ def leader(record_type: Column | str = "a", level: Column | str = "m", status: s
 def record(rows: DataFrame, rec_id: Column, kind: str, lead: Column, control: list[tuple[str, Column]], fields: list[Column]) -> DataFrame:
     """A record table from columns: control fields and fields (arrays of fields) whose value is null are left out."""
     listed = F.filter(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(0).alias("occ"), v.cast("string").alias("value")) for t, v in control]), lambda c: c["value"].isNotNull())
-    return rows.select(
+    whole = F.struct(
         rec_id.cast("bigint").alias("rec_id"), F.lit(kind).alias("kind"), F.lit("testkit").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"),
         lead.alias("leader"), E.regroup_control(listed).alias("control"), E.regroup(F.flatten(F.array(*fields))).alias("fields"), F.array().cast(f"array<{ERROR}>").alias("errors"),
     )
+    return spread(rows).select(F.inline(F.array(whole)))  # a generator: what reads a record does not build it again
 
 
 def one(tag: str, ind1: str, ind2: str | Column, *subs: tuple[str, Column], when: Column | None = None) -> Column:
