@@ -206,26 +206,59 @@ def test_near_pairs_are_exact():
     assert got == _brute(f)
 
 
-def test_repetitions_reach_the_recall():
-    assert simhash.repetitions(0) == 1 and simhash.depth_for(100) == 0
-    together = sum(math.comb(4, 2 * k) * 0.1 ** (2 * k) * 0.9 ** (4 - 2 * k) * math.comb(2 * k, k) / 4**k for k in range(3)) ** 3
-    assert 1 - (1 - together) ** simhash.repetitions(3, 0.1, 0.95) >= 0.95
-
-
-@pytest.mark.parametrize("depth", [3, 4])
-def test_isolated_pairs_are_found_at_every_distance(depth):
+def test_odds_of_the_caps():
+    """The probability that both of a near pair weigh little on a strip, against draws."""
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 2, (200_000, simhash.STRIP), dtype=np.int8)
+    y = x ^ (draw.random(x.shape) < simhash.NEAR)
+    one, both = simhash.cap_odds(27)
+    low = x.sum(1) <= 27
+    assert abs(low.mean() - one) < 0.004 and abs((low & (y.sum(1) <= 27)).mean() - both) < 0.004
+    assert simhash.caps_for(100) == [] and len(simhash.caps_for(10_000_000)) == 2
+    assert math.prod(simhash.repetitions([27, 27])) > simhash.repetitions([27])[0]
+
+
+@pytest.mark.parametrize("caps", [[26], [28, 28], [30, 30, 30]])
+def test_isolated_pairs_are_found_at_every_distance(caps):
     draw = np.random.default_rng(5)
+    search = simhash.Search(caps)
     for bits in (20, 44, 50, 55, simhash.WITHIN):
         f = draw.integers(0, 1 << 64, (400, 4), dtype=np.uint64)
         other = f.copy()
         for row in other:
             for bit in draw.choice(256, bits, replace=False):
                 row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        both = np.concatenate([f, other]).view(np.int64)
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), *[pa.array(both[:, w].copy()) for w in range(4)]], ["node", "f0", "f1", "f2", "f3"])
-        lists = np.stack([b.column(0).to_numpy() for b in simhash._listed([batch], depth, simhash.repetitions(depth))])
-        met = (lists[:, :400] == lists[:, 400:]).any(0)
+        met, numbers = np.zeros(400, bool), []
+        for number, rows in search.lists(np.concatenate([f, other])):
+            there = np.zeros(800, bool)
+            there[rows] = True
+            met |= there[:400] & there[400:]
+            numbers.append(number)
         assert met.mean() >= 0.9, (bits, met.mean())
+        assert len(set(numbers)) == len(numbers)
+
+
+def test_large_lists_are_compared_in_blocks_and_through_leaders():
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 1 << 64, (1, 4), dtype=np.uint64)
+    f = np.repeat(base, 700, 0)
+    for row in f[:600]:  # a cluster, each some 20 bits off its centre
+        for bit in draw.choice(256, 20, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    f[600:] = draw.integers(0, 1 << 64, (100, 4), dtype=np.uint64)
+    f[650] = f[651] ^ np.uint64(1)
+    member, root = simhash.forest(f)
+    want = list(range(700))
+    for i, j in _brute(f):
+        a, b = _find(want, i), _find(want, j)
+        want[max(a, b)] = min(a, b)
+    assert dict(zip(member.tolist(), root.tolist())) == {i: _find(want, i) for i in range(700) if _find(want, i) != i}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(700)), *[pa.array(f[:, w].view(np.int64)) for w in range(4)]], ["node", "f0", "f1", "f2", "f3"])
+    found: dict[int, set] = {}
+    for out in simhash._listed([batch], simhash.Search([]), {0: 5}):
+        for key, node in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            found.setdefault(key, set()).add(node)
+    assert len(found) == 15 and all(any({i, j} <= s for s in found.values()) for i, j in itertools.combinations(range(0, 700, 7), 2))
 
 
 # Kneser-Ney ---------------------------------------------------------------------------------------------------
