@@ -43,9 +43,12 @@ def discard(table: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the second time for what the first one's finalisers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small(df: DataFrame, width: int) -> DataFrame:

@@ -8,7 +8,8 @@ the weight it leaves as a context add to those of the unknown word.  The log-pro
 of its items' values, and an item that is not known adds nothing.  Neither bigrams nor words are bounded: items
 stay sharded by key, and the documents' items are sent to the shards in sorted, packed arrays and joined there.
 Keys take turns, in counting and in joining, so that one in ``ROUNDS`` of the items is on disk at a time.  The ``COMMON`` most frequent words are sent to
-the texts beforehand, which saves sending those to the shards and changes no result.
+the texts beforehand, which saves sending those to the shards and changes no result.  Trusted texts are found by a join on
+their ids, at every size alike; a bitmap of ``MARKS`` bits, which has a fixed size, keeps nearly all others from the shuffle.
 
 A document is kept if its perplexity is at most its language's ``QUANTILE`` over the held-out trusted
 documents (over all languages together, where a language has fewer than ``LEAST`` of those).
@@ -16,7 +17,7 @@ documents (over all languages together, where a language has fewer than ``LEAST`
 Cases: a text without words has no perplexity and is kept; null languages form a language of their own;
 null ids are kept like any other; rows with the same id and text get the same figure; a document labelled
 twice is trusted if every label says so; with no trusted text nothing is rejected; an empty table gives an
-empty result; other columns are ignored.
+empty result; a very long text is scored whole, its words in one batch; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, discard, null_id, release, small, stored
+from quire.llm.common import Shield, discard, null_id, release, stored
 
 VOCABULARY = 65_534  # smoothing reckons with this many words at least, and with all trained ones if there are more
 COMMON = 65_536
@@ -39,6 +40,8 @@ ROUNDS = 4
 QUANTILE = 0.995
 LEAST = 50
 SHARD_WORDS = 8_000_000
+ROWS = 10_000  # documents of a packed batch
+MARKS = 1 << 26
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -139,6 +142,22 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q > 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"))
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose doc_id is in ids; a bitmap of hashed ids goes before the join."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    words = ids.groupBy(F.shiftright(spot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 64, np.uint64)  # 8 MB
+    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def may(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return docs.where("doc_id IS NOT NULL").where(may(spot)).join(ids.hint("shuffle_hash"), "doc_id")
+
+
 def _looked_up(rows: DataFrame, by: str, names: list[str], stats: DataFrame, common: DataFrame) -> DataFrame:
     """rows with the columns names of stats for the word in column by; common words, which many rows have, are broadcast."""
     side = [F.col("word").alias(by), *[F.col(n) for n in names]]
@@ -237,14 +256,14 @@ def _items(tokens: K.Tokens, tables: Tables) -> tuple[np.ndarray, np.ndarray, np
 def perplexity(docs: DataFrame, model: Model, shards: int) -> DataFrame:
     """(doc_id, text_hash, words, log_sum): one row for each different document; model is used up. shards: of each turn."""
     sent = docs.sparkSession.sparkContext.broadcast(model.tables)
-    schema = "doc_id bigint, text_hash int, words bigint, log_sum double"
+    schema = "doc_id bigint, text_hash bigint, words bigint, log_sum double"
 
     def shard_of(key: np.ndarray) -> np.ndarray:
         return (key % np.uint64(shards)).astype(np.int32)
 
     def spread(batches, turn: int):
-        """Rows (shard, documents, keys) of the keys whose turn it is: shard -1, in the first, has sums instead of keys."""
-        for batch in batches:
+        """Rows (shard, sums, documents, keys) of the keys whose turn it is; in the first, one of sums instead of keys for each batch, in any shard."""
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = K.as_strings(batch.column(2))
             ids = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
             keys, owners, sums, sizes = [], [], np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -254,11 +273,12 @@ def perplexity(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                 sizes[lo:hi] = np.diff(tokens.offsets)
                 now = turn_of(key) == turn
                 keys.append(key[now])
-                owners.append((doc[now] + lo).astype(np.uint16))  # a batch has at most 10,000 rows
+                owners.append((doc[now] + lo).astype(np.uint16))  # a batch has at most ROWS rows
             out = []
             if turn == 0:
                 some = np.flatnonzero(sizes)
-                out.append((-1, _pack(ids[some]), _pack(sums[some]), _pack(sizes[some])))
+                place = int(K.mix(ids[:1, 0].astype(np.uint64))[0] % np.uint64(shards)) if len(ids) else 0
+                out.append((place, True, _pack(ids[some]), _pack(sums[some]), _pack(sizes[some])))
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
                 place = shard_of(key)
@@ -269,18 +289,18 @@ def perplexity(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                         own, at = np.unique(owner[part], return_inverse=True)
                         steps = np.diff(key[part], prepend=np.uint64(0))
                         planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-                        out.append((s, _pack(ids[own]), _pack(planes), _pack(at.astype(np.uint16))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3)]], ["shard", "ids", "a", "b"])
+                        out.append((s, False, _pack(ids[own]), _pack(planes), _pack(at.astype(np.uint16))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), *[pa.array([x[i] for x in out], pa.binary()) for i in (2, 3, 4)]], ["shard", "sums", "ids", "a", "b"])
 
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, sums = [], [], []
         known = right.column("key").to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, value = known[order], right.column("value").to_numpy()[order]
-        for raw_ids, a, b in zip(*[left.column(c).to_pylist() for c in ("ids", "a", "b")]):
+        for is_sums, raw_ids, a, b in zip(*[left.column(c).to_pylist() for c in ("sums", "ids", "a", "b")]):
             own = _unpack(raw_ids, np.int64).reshape(-1, 2)
             ids.append(own)
-            if key[0].as_py() < 0:
+            if is_sums:
                 sums.append(_unpack(a, np.float64))
                 words.append(_unpack(b, np.int64))
                 continue
@@ -294,11 +314,11 @@ def perplexity(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                 sums.append(np.zeros(len(own)))
             words.append(np.zeros(len(own), np.int64))
         every = np.concatenate(ids) if ids else np.zeros((0, 2), np.int64)
-        return pa.table({"doc_id": every[:, 0], "text_hash": every[:, 1].astype(np.int32), "words": np.concatenate(words or [np.zeros(0, np.int64)]), "log_sum": np.concatenate(sums or [np.zeros(0)])})
+        return pa.table({"doc_id": every[:, 0], "text_hash": every[:, 1], "words": np.concatenate(words or [np.zeros(0, np.int64)]), "log_sum": np.concatenate(sums or [np.zeros(0)])})
 
     turns = []
     for turn in range(ROUNDS):
-        sent_out = docs.mapInArrow(lambda b, turn=turn: spread(b, turn), "shard int, ids binary, a binary, b binary")
+        sent_out = docs.mapInArrow(lambda b, turn=turn: spread(b, turn), "shard int, sums boolean, ids binary, a binary, b binary")
         items = model.items(turn, shard_of)
         parts = sent_out.groupBy("shard").cogroup(items.groupBy("shard")).applyInArrow(join, schema)
         turns.append(stored(parts.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("words"), F.sum("log_sum").alias("log_sum"))))
@@ -314,11 +334,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A stored table (doc_id, text_hash, lang, held, perplexity); held: kept out of training though trusted."""
     sealed = Shield(docs, doc_id="bigint", text="string", lang="string")
     good = stored(trusted(docs, labels))
-    chosen = small(good.where("NOT held").select("doc_id"), 16)  # few enough are sent to the texts, more meet them by a shuffle
-    texts = sealed.picked().where("doc_id IS NOT NULL").join(chosen, "doc_id").select("text")
+    texts = stored(marked(sealed.picked().select("doc_id", "text"), good.where("NOT held").select("doc_id")).select("text"))
     model = train(texts)
+    discard(texts)
     release(docs.sparkSession)
-    sizes = perplexity(sealed.keyed(), model, max(6, math.ceil(model.total / SHARD_WORDS) * 2))
+    letters = sealed.picked().agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = perplexity(sealed.keyed(), model, max(6, math.ceil(letters / 6 / SHARD_WORDS)))  # a word takes six bytes or more
     rows = sealed.rows.select(sealed.key("doc_id"), sealed.key("text_hash"), sealed.col("lang").alias("lang")).dropDuplicates(["doc_id", "text_hash"])
     rows = rows.join(sizes, ["doc_id", "text_hash"], "left").join(good.where("held"), "doc_id", "left")
     return stored(rows.select("doc_id", "text_hash", "lang", F.coalesce("held", F.lit(False)).alias("held"), F.exp(-F.col("log_sum") / F.col("words")).alias("perplexity")))
@@ -327,10 +348,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def thresholds(rows: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
     """(lang, most): the greatest perplexity kept, for every language of rows."""
     held = rows.where("held AND perplexity IS NOT NULL")
-    every = held.agg(F.percentile("perplexity", F.lit(quantile)).alias("all"))
-    own = held.groupBy(F.col("lang").alias("l")).agg(F.percentile("perplexity", F.lit(quantile)).alias("own"), F.count("*").alias("n"))
-    langs = rows.select("lang").distinct().join(own, F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(every)
-    return langs.select("lang", F.coalesce(F.when(F.col("n") >= least, F.col("own")), F.col("all")).alias("most"))
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))  # a sketch of bounded size, exact for fewer documents
+    every = held.agg(at).first()[0]
+    own = held.groupBy(F.col("lang").alias("l")).agg(at.alias("own"), F.count("*").alias("n"))
+    langs = rows.select("lang").distinct().join(own, F.col("lang").eqNullSafe(F.col("l")), "left")
+    return langs.select("lang", F.coalesce(F.when(F.col("n") >= least, F.col("own")), F.lit(every).cast("double")).alias("most"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

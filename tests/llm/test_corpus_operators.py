@@ -325,6 +325,26 @@ def test_common_words_are_a_saving_only(spark, docs, monkeypatch):
     assert every == pytest.approx(some, rel=1e-9)
 
 
+def test_thresholds_of_two_languages_and_of_too_few_documents(spark):
+    """Each language has the quantile of its own held-out documents, a language with fewer than least that of all."""
+    rows = [(i, "en", True, float(i)) for i in range(100)] + [(i, "fr", True, 1000.0 + i) for i in range(200)] + [(i, "xx", True, 5.0) for i in range(3)] + [(9, None, True, 7.0), (1, "de", False, 1.0), (2, "en", False, 1e9), (3, "fr", True, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, held boolean, perplexity double")
+    got = {r.lang: r.most for r in kneser_ney.thresholds(frame, 0.9, 50).collect()}
+    rank = lambda v: sorted(v)[math.ceil(0.9 * len(v)) - 1]
+    every = rank([p for _, _, h, p in rows if h and p is not None])
+    assert got == {"en": rank(range(100)), "fr": rank(range(1000, 1200)), "xx": every, None: every, "de": every}
+
+
+def test_large_batches_and_hashed_marks(spark, docs, monkeypatch):
+    """Batches are cut to ROWS; marks that meet in the bitmap are told apart by the join."""
+    frame = docs([" ".join(prose(i, 12)) for i in range(90)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)], "doc_id bigint, quality int, toxic int")
+    want = {r.doc_id: r.perplexity for r in kneser_ney.scored(frame, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "ROWS", 7)
+    monkeypatch.setattr(kneser_ney, "MARKS", 64)
+    assert {r.doc_id: r.perplexity for r in kneser_ney.scored(frame, labels).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_quality_cases(spark, odd, clashing):
     labels = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
     for frame in (odd, clashing):
