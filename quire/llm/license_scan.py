@@ -1,15 +1,17 @@
 """Operator 1 - license scans.
 
 Documents are cut into overlapping word windows in size classes (each class fits the templates of about its
-size: a window of W words every W/4 words holds any run of up to 3W/4 words whole).  A window's set of word
-pairs is MinHashed; it meets a template of its class if one of ``BANDS`` bands of ``ROWS`` minima is equal.
-With at least 3W/8 words in the template the Jaccard similarity of a window that holds it is 1/4 or more, so
-a band is met with probability 1 - (1 - 1/16)^256 > 0.9999999.  A window with fewer template word
-pairs than the verification demands could only be refused, so those (nearly all) are passed over before any
-hash is drawn.  Met templates are verified exactly: the share of a template's word pairs the window holds.
+size: a window of W words every W/4 words holds any run of up to 3W/4 words whole).  Every window's set of word
+pairs is MinHashed with ``MINIMA`` functions, and every two of the minima are a band: a window meets a template of its
+class if they agree in two of them.  A template has more than 3W/8 words, so the Jaccard similarity of a window that holds
+it is 1/4 or more, and a band is met with probability 1 - (3/4)^64 - 64 (1/4) (3/4)^63 > 0.999999.  The bands alone
+retrieve; windows that met a template are then verified exactly: the share of the template's word pairs the window holds.
+
+The minima of a window are those of its four quarters, and those of the quarters are the minima of smaller ones, so a
+function costs a few vectorised passes over the words for all classes together.
 
 Cases: null, empty and one-word texts match nothing; a null id is reported as null; repeated rows are each
-reported; an empty table gives an empty result; other columns are ignored.
+reported; an empty table gives an empty result; a very long text is cut into windows from end to end; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ from pyspark.sql import DataFrame
 from quire.llm import kernel as K
 from quire.llm.common import shield
 
-ROWS, BANDS = 2, 256
+MINIMA, ROWS = 64, 2
 CONTAINMENT = 0.8
-CLASSES = (8, 16, 32, 64, 128, 256)
-SHORTEST, LONGEST = 4, 192
+SHORTEST = 4
 
 #: Short public license statements and the openings of license texts.
 TEMPLATES = {
@@ -51,80 +52,89 @@ def words_of(text: str) -> list[str]:
 
 
 def window_of(n: int) -> int:
-    """The size class of a template of n words."""
-    if not SHORTEST <= n <= LONGEST:
-        raise ValueError(f"a template needs {SHORTEST} to {LONGEST} words")
-    return next(w for w in CLASSES if n * 4 <= w * 3)
+    """The size class of a template of n words: the least power of two, from 8, of which it is at most three quarters."""
+    if n < SHORTEST:
+        raise ValueError(f"a template needs {SHORTEST} words")
+    return max(8, 1 << (-(-4 * n // 3) - 1).bit_length())
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     return K.ngrams(hashes, 2)
 
 
-def _signature(pairs: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Band keys of a set of word pairs."""
-    least = K.mix((pairs[:, None] ^ seeds[None, :])).min(0).reshape(BANDS, ROWS)
-    return K.mix(least[:, 0] * np.uint64(31) + least[:, 1] + np.arange(BANDS, dtype=np.uint64))
+def _functions() -> np.ndarray:
+    """Odd factors of 32 bits: each orders the (well mixed) hashes of the word pairs anew."""
+    return (K.mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+class Templates:
+    """The templates of each size class: names, sets of word pairs, minima."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.factors = _functions()
+        self.known: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
+        for name, text in templates.items():
+            tokens = K.tokenize(K.as_strings(pa.array([text])), 0, 1)
+            pairs = np.unique(_pairs(tokens.hashes))
+            minima = np.array([(f * (pairs >> np.uint64(32)).astype(np.uint32)).min() for f in self.factors])
+            self.known.setdefault(window_of(len(tokens.hashes)), []).append((name, pairs, minima))
+
+    def met(self, tokens: K.Tokens, pairs: np.ndarray):
+        """(size class, template, documents, windows of each) of the windows that meet a template in a band."""
+        step = max(self.known) // 4
+        sizes = np.diff(tokens.offsets)
+        room = -(-sizes // step) * step  # each document begins a quarter of the largest windows
+        base = np.cumsum(room) - room
+        padded = np.full(int(room.sum()) + 4 * step, np.uint32(0xFFFFFFFF))
+        hashes, good = (pairs >> np.uint64(32)).astype(np.uint32), K.whole(tokens, 2)
+        at = (np.arange(len(tokens.hashes)) + np.repeat(base - tokens.offsets[:-1], sizes))[: len(pairs)][good]
+        empty, values = padded.copy(), np.zeros(len(padded), np.uint32)
+        empty[at], values[at] = 0, hashes[good]
+        agree = {w: np.zeros((len(of), len(padded) // (w // 4)), np.uint8) for w, of in self.known.items()}
+        for k, factor in enumerate(self.factors):
+            least, size = (values * factor) | empty, 1
+            while size < step:
+                least, size = np.minimum(least[::2], least[1::2]), size * 2
+                if of := self.known.get(size * 4):
+                    two = np.minimum(least[:-1], least[1:])
+                    four = np.minimum(two[:-2], two[2:])  # into the next document at most: it can only add pairs
+                    for count, (_, _, minima) in zip(agree[size * 4], of):
+                        count[: len(four)] += four == minima[k]
+        for w, of in self.known.items():
+            quarters = room // (w // 4)
+            for count, template in zip(agree[w], of):
+                spot = np.flatnonzero(count >= ROWS)
+                doc = np.searchsorted(base, spot * (w // 4), "right") - 1
+                window = spot - base[doc] // (w // 4)
+                inside = (window < quarters[doc]) & (window * (w // 4) < sizes[doc])
+                yield w, template, doc[inside], window[inside]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each document and license it holds: doc_id, license, windows (that hold it), containment (the best)."""
-    seeds = K.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    known: dict[int, list] = {}
-    for name, text in templates.items():
-        at = K.as_strings(pa.array([text]))
-        tokens = K.tokenize(at, 0, 1)
-        pairs = np.unique(_pairs(tokens.hashes))
-        known.setdefault(window_of(len(tokens.hashes)), []).append((name, pairs, set(_signature(pairs, seeds).tolist())))
+    known = Templates(templates)
     rows = shield(docs).picked()
 
     def run(batches):
-        sizes = sorted(known)
-        members = {w: np.unique(np.concatenate([p for _, p, _ in known[w]])) for w in sizes}
-        needed = {w: min(int(np.ceil(containment * len(p) - 1e-9)) for _, p, _ in known[w]) for w in sizes}
-        marked = np.zeros(1 << 16, bool)
-        for m in members.values():
-            marked[(m >> np.uint64(48)).astype(np.int64)] = True
         for batch in batches:
-            texts, found = K.as_strings(batch.column(1)), []
+            texts, best = K.as_strings(batch.column(1)), {}
             for lo, hi in K.chunks(texts):
                 tokens = K.tokenize(texts, lo, hi)
+                if not len(tokens.hashes):
+                    continue
                 pairs = _pairs(tokens.hashes)
-                maybe = np.flatnonzero(marked[(pairs >> np.uint64(48)).astype(np.int64)] & K.whole(tokens, 2))
-                for w in sizes:
-                    table, step = members[w], w // 4
-                    hits = maybe[table[np.minimum(np.searchsorted(table, pairs[maybe]), len(table) - 1)] == pairs[maybe]]
-                    if not len(hits):
-                        continue
-                    total = np.zeros(len(pairs) + 2, np.int32)
-                    total[hits + 1] = 1
-                    np.cumsum(total, out=total)
-                    doc = np.searchsorted(tokens.offsets, hits, "right") - 1
-                    place = hits - tokens.offsets[doc]
-                    spots = np.unique(np.concatenate([(doc << 32) | np.maximum(place // step - back, 0) for back in range(4)]))
-                    doc = spots >> 32
-                    first = tokens.offsets[doc] + (spots & 0xFFFFFFFF) * step
-                    last = np.minimum(first + w, tokens.offsets[doc + 1])
-                    enough = total[np.maximum(last - 1, first)] - total[first] >= needed[w]
-                    for d, a, b in zip(doc[enough].tolist(), first[enough].tolist(), last[enough].tolist()):
-                        inside = np.unique(pairs[a : b - 1])
-                        bands = None
-                        for name, wanted, keys in known[w]:
-                            if not np.isin(wanted, inside).any():
-                                continue
-                            bands = set(_signature(inside, seeds).tolist()) if bands is None else bands
-                            if bands & keys:
-                                share = float(np.isin(wanted, inside).sum()) / len(wanted)
-                                if share >= containment:
-                                    found.append((lo + d, name, share))
-            best: dict[tuple, list] = {}
-            for d, name, share in found:
-                x = best.setdefault((d, name), [0, 0.0])
-                x[0], x[1] = x[0] + 1, max(x[1], share)
+                for w, (name, wanted, _), docs_, windows in known.met(tokens, pairs):
+                    for d, s in zip(docs_.tolist(), windows.tolist()):
+                        first = int(tokens.offsets[d]) + s * (w // 4)
+                        last = min(first + w, int(tokens.offsets[d + 1]))
+                        share = float(np.isin(wanted, pairs[first : last - 1]).sum()) / len(wanted)
+                        if share >= containment:
+                            x = best.setdefault((lo + d, name), [0, 0.0])
+                            x[0], x[1] = x[0] + 1, max(x[1], share)
             if best:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in best])), pa.array([n for _, n in best]), pa.array([x[0] for x in best.values()], pa.int32()), pa.array([x[1] for x in best.values()])], ["doc_id", "license", "windows", "containment"])
 
-    return rows.mapInArrow(run, "doc_id bigint, license string, windows int, containment double")
+    return rows.mapInArrow(K.tidied(run), "doc_id bigint, license string, windows int, containment double")
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> str:

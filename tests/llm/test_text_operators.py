@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pytest
 
 from quire.llm import bpe, decontaminate, license_scan, line_rules, sharding, toxicity
@@ -30,9 +31,28 @@ def test_license_scan_odd_rows(odd, clashing, docs):
     assert sorted(str(r.doc_id) for r in license_scan.scan(docs([(None, text), (3, text), (3, text)])).collect()) == ["3", "3", "None"]
 
 
-def test_license_templates_have_bounds():
+def test_license_templates_of_any_length(docs, sql):
     with pytest.raises(ValueError):
         license_scan.window_of(3)
+    assert [license_scan.window_of(n) for n in (4, 6, 7, 12, 13, 192, 193, 1600)] == [8, 8, 16, 16, 32, 256, 512, 4096]
+    whole = {"long": " ".join(f"w{i} {x}" for i, x in enumerate(prose(77, 600))), "short": "given freely to all who ask"}
+    words = whole["long"].split()
+    frame = docs([" ".join([*prose(1, 300), *words, *prose(2, 50)]), " ".join(words[:1100]), " ".join(words[:700]), whole["short"] + " x", "ask all freely to given"])
+    got = same_rows(license_scan.scan(frame, whole).collect())
+    assert got == sql(license_scan.scan_sql(whole), documents=frame)
+    assert len(got) == 3
+
+
+def test_bands_meet_at_the_least_similarity():
+    """Sets of similarity 1/4 agree in two of the minima; unrelated ones do not."""
+    draw, factors, found, false = np.random.default_rng(4), license_scan._functions(), 0, 0
+    for _ in range(300):
+        x = draw.integers(0, 1 << 32, 160, dtype=np.uint32)
+        a, b, c = x[:100], x[60:], draw.integers(0, 1 << 32, 100, dtype=np.uint32)
+        least = [np.array([(f * s).min() for f in factors]) for s in (a, b, c)]
+        found += int((least[0] == least[1]).sum() >= license_scan.ROWS)
+        false += int((least[0] == least[2]).sum() >= license_scan.ROWS)
+    assert found == 300 and false == 0
 
 
 # line rules ---------------------------------------------------------------------------------------------------
