@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,25 @@ def small(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
+def may_be_in(key, keys: DataFrame, bits: int = 1 << 26):
+    """Whether a hash (bigint column) may be among keys (its one column): false only where it is not.
+
+    A bitmap of fixed size (8 MB) is broadcast, so rows that cannot meet the keys need not be shuffled to a join with them.
+    """
+    spot = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    words = keys.groupBy(F.shiftright(spot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(max(1, bits // 64), np.uint64)
+    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def may(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return may(F.pmod(key, F.lit(bits)))
+
+
 class Shield:
     """A table under positional names, so that clashing or repeated column names can do no harm.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, discard, null_id, release, stored
+from quire.llm.common import Shield, discard, may_be_in, null_id, release, stored
 
 VOCABULARY = 65_534  # smoothing reckons with this many words at least, and with all trained ones if there are more
 COMMON = 65_536
@@ -144,18 +144,8 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) whose doc_id is in ids; a bitmap of hashed ids goes before the join."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    words = ids.groupBy(F.shiftright(spot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(MARKS // 64, np.uint64)  # 8 MB
-    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.arrow_udf("boolean")
-    def may(spots: pa.Array) -> pa.Array:
-        at = spots.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return docs.where("doc_id IS NOT NULL").where(may(spot)).join(ids.hint("shuffle_hash"), "doc_id")
+    there = may_be_in(F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("key")), MARKS)
+    return docs.where("doc_id IS NOT NULL").where(there).join(ids.hint("shuffle_hash"), "doc_id")
 
 
 def _looked_up(rows: DataFrame, by: str, names: list[str], stats: DataFrame, common: DataFrame) -> DataFrame:

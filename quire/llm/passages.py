@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, discard, release, small, stored
+from quire.llm.common import Shield, discard, may_be_in, release, small, stored
 
 LENGTH = 50
 K_WORDS = 16
@@ -136,7 +136,8 @@ def segments(sealed: Shield, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     for table in (marks, many):
         discard(table)
     release(spark)
-    found = rows.join(spots, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spots")
+    there = may_be_in(F.xxhash64("doc_id", "text_hash"), spots.select(F.xxhash64("doc_id", "text_hash").alias("key")))  # other texts stay where they are
+    found = rows.where(there).join(spots, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spots")
     return found.mapInArrow(K.tidied(_cut(length)), SEGMENT).repartition("key").sortWithinPartitions("key", "kind", "doc_id", "text_hash", "place")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import null_id, release, shield, stored
+from quire.llm.common import may_be_in, null_id, release, shield, stored
 from quire.llm.decontaminate import retexted
 from quire.llm.passages import FOUND, HOT, LENGTH, Stretches, by_shard, segments, union_of, without
 
@@ -100,6 +100,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     sealed = shield(docs)
     gone = stored(_found(docs, length, hot).where(F.size("removed") > 0).select(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash"), "removed"))
     release(docs.sparkSession)
-    rows = sealed.rows.withColumns({"q_id": sealed.key("doc_id"), "q_hash": sealed.key("text_hash")}).join(gone, ["q_id", "q_hash"], "left")
-    rows = rows.withColumn("q_text", F.when(F.col("removed").isNotNull(), without(sealed.col("text"), F.col("removed"))))
+    there = may_be_in(F.xxhash64("q_id", "q_hash"), gone.select(F.xxhash64("q_id", "q_hash").alias("key")))
+    rows = sealed.rows.withColumns({"q_id": sealed.key("doc_id"), "q_hash": sealed.key("text_hash")}).withColumn("q_there", there)
+    cut = rows.where("q_there").join(gone, ["q_id", "q_hash"], "left")
+    cut = cut.withColumn("q_text", F.when(F.col("removed").isNotNull(), without(sealed.col("text"), F.col("removed"))))
+    names = [*sealed.rows.columns, "q_text"]
+    rows = cut.select(*names).union(rows.where("NOT q_there").withColumn("q_text", F.lit(None).cast("string")).select(*names))  # most texts have no part to lose and are not moved
     return retexted(sealed, rows, F.col("q_text"))
