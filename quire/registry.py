@@ -18,12 +18,13 @@ from quire.operators import link as L
 from quire.plans import dsl as D
 from quire.plans.long import from_long, to_long
 from quire.sources import iso2709 as I
+from quire.sources import marc as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_KINDS = {"bib": (testkit.bib, "part", "p_partkey"), "authority": (testkit.authority, "customer", "c_custkey"), "holdings": (testkit.holdings, "supplier", "s_suppkey")}
+_KINDS = {"bib": (testkit.bib, "part", "p_partkey"), "authority": (testkit.authority, "customer", "c_custkey"), "holdings": (testkit.holdings, "supplier", "s_suppkey"), "rich": (testkit.rich, "part", "p_partkey")}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -96,17 +97,11 @@ for _name, _value, _sql in (
     ("isbn", A.isbn, ISBN),
     ("isbns", A.isbns, ISBN),
     ("isbn_valid", lambda: S.isbn_valid(A.isbn()), "k % 5 <> 0"),
-    ("issn", A.issn, "CAST(NULL AS VARCHAR)"),
-    ("issnl", A.issnl, "CAST(NULL AS VARCHAR)"),
-    ("issn_title", A.issn_title, "CAST(NULL AS VARCHAR)"),
     ("subjects", A.subjects, _bars(TOPICS, GEOGRAPHIC)),
     ("language", A.language, f"nullif({LANG}, '   ')"),
     ("control_number", A.control_number, "CAST(k AS VARCHAR)"),
-    ("lccn", A.lccn, "CAST(NULL AS VARCHAR)"),
     ("physical_description", A.physical_description, "p_size || ' pages'"),
     ("series", A.series, "CASE WHEN k % 3 = 1 THEN p_brand END"),
-    ("uniform_title", A.uniform_title, "CAST(NULL AS VARCHAR)"),
-    ("sudoc", A.sudoc, "CAST(NULL AS VARCHAR)"),
     ("location", A.location, "'Library ' || k % 5"),
     ("notes", A.notes, NOTES),
     ("is_book", A.is_book, f"({TYPE}) = 'a' AND ({LEVEL}) = 'm'"),
@@ -136,7 +131,6 @@ for _name, _value, _sql in (
     ("script_language", lambda: S.script_language(E.value_of(E.first_of("880"), "a")), "CASE WHEN k % 4 = 0 THEN 'el' END"),
     ("leader_text", lambda: S.leader_text(F.col("leader")), f"'00000n' || ({TYPE}) || ({LEVEL}) || ' a2200000 a 4500'"),
     ("leader_description", lambda: S.describe_leader_value(6, F.col("leader.record_type")), f"CASE ({TYPE}) WHEN 'a' THEN 'Language material' WHEN 'c' THEN 'Notated music' ELSE 'Projected medium' END"),
-    ("leader_value_valid", lambda: S.leader_value_valid(8, F.col("leader.control_record_type")), "false"),
     ("leader_patched", lambda: X.set_leader(5, "c", S.leader_text(F.col("leader"))), f"'00000c' || ({TYPE}) || ({LEVEL}) || ' a2200000 a 4500'"),
     # the query language
     ("match_field_query", lambda: _first_values(D.matching(D.FieldQuery().tag("650").indicator2("0").has_subfield("a"))), "string_split(p_type, ' ')[1]"),
@@ -172,15 +166,9 @@ for _name, _value, _sql in (
     ("remove_subfields_where", lambda: E.join_values(X.remove_subfields_where(E.first_of("245"), lambda s: s["code"].isin("6", "c"))), "p_name"),
     ("add_control_field", lambda: X.add_control("003", "QUI")["tag"], "'001|008|003'"),
     ("set_control_field", lambda: F.get(X.set_control_at("001", 0, "none"), 0)["value"], "'none'"),
-    ("clear_fields", lambda: F.size(X.no_fields()), "0"),
+    ("clear_fields", lambda: F.concat_ws("|", F.size(X.no_fields()).cast("string"), F.size(D.matching(D.FieldQuery("650"))).cast("string")), "'0|' || len(string_split(p_type, ' '))"),
     # validation
-    ("record_problem", lambda: V.record_problem(), "CAST(NULL AS VARCHAR)"),
-    ("is_valid", lambda: V.is_valid(), "true"),
-    ("fields_valid", lambda: F.forall("fields", V.field_valid), "true"),
     ("indicator_meaning", lambda: F.transform(E.fields_of("650"), lambda f: V.indicator_meaning(f["tag"], 2, f["ind2"])), "array_to_string(list_transform(string_split(p_type, ' '), lambda w, i: CASE WHEN i = 1 THEN 'LCSH' ELSE 'LCSH (conflict)' END), '|')"),
-    ("directory_problem", lambda: V.directory_problem(), "CAST(NULL AS VARCHAR)"),
-    ("encoding_inconsistent", lambda: V.encoding_report()["inconsistent"], "0"),
-    ("encoding_declared", lambda: V.encoding_report()["declared"], "'utf8'"),
     # Dublin Core elements
     ("dc_title", lambda: C.dublin_core()["title"], "p_name || ' by ' || p_brand"),
     ("dc_creator", lambda: C.dublin_core()["creator"], f"coalesce({AUTHOR}, {CORPORATE})"),
@@ -190,6 +178,27 @@ for _name, _value, _sql in (
 ):
     each("bib", f"bib_{_name}", _value, _sql)
 
+#: records with the rarer fields and with faults
+_FAULT = "CASE WHEN k % 5 = 0 THEN 'leader record_status' WHEN k % 7 = 0 THEN 'no 001' WHEN k % 11 = 0 THEN 'no 008' WHEN k % 19 = 0 THEN 'indicator' WHEN k % 13 = 0 THEN 'subfield code' END"
+for _name, _value, _sql in (
+    ("issn", A.issn, "CASE WHEN k % 3 = 0 THEN '1234-' || lpad(CAST(k % 1000 AS VARCHAR), 4, '0') END"),
+    ("issnl", A.issnl, "CASE WHEN k % 4 = 1 THEN 'other' || k END"),
+    ("issn_title", A.issn_title, "CASE WHEN k % 3 = 1 THEN 'Key title ' || k END"),
+    ("lccn", A.lccn, "CASE WHEN k % 2 = 0 THEN 'lccn' || k END"),
+    ("uniform_title", A.uniform_title, "CASE WHEN k % 6 = 1 THEN 'Uniform ' || p_brand END"),
+    ("sudoc", A.sudoc, "CASE WHEN k % 5 = 1 THEN 'D ' || k END"),
+    ("leader_value_valid", lambda: S.leader_value_valid(5, F.col("leader.record_status")), "k % 5 <> 0"),
+    ("record_problem", lambda: V.record_problem(), _FAULT),
+    ("is_valid", lambda: V.is_valid(), f"({_FAULT}) IS NULL"),
+    ("fields_valid", lambda: F.forall("fields", V.field_valid), "NOT (k % 6 = 0 OR k % 10 = 3)"),
+    ("directory_problem", lambda: V.directory_problem(), "CASE WHEN k % 9 = 0 THEN 'field' WHEN k % 50 = 0 THEN 'record' END"),
+    ("encoding_inconsistent", lambda: V.encoding_report()["inconsistent"], "CAST(CASE WHEN k % 4 <> 0 THEN k % 3 = 0 ELSE k % 8 = 0 END AS INT)"),
+    ("encoding_declared", lambda: V.encoding_report()["declared"], "CASE WHEN k % 4 = 0 THEN 'marc8' ELSE 'utf8' END"),
+    ("encoding_mixed", V.encoding_mixed, "CASE WHEN k % 4 <> 0 THEN k % 3 = 0 ELSE k % 8 = 0 END"),
+    ("names_in_range", lambda: _first_values(D.fields_in_range("130", "222")), "concat_ws('|', CASE WHEN k % 6 = 1 THEN 'Uniform ' || p_brand END, CASE WHEN k % 3 = 1 THEN 'Key title ' || k END)"),
+):
+    each("rich", f"bib_{_name}", _value, _sql)
+
 # authority records --------------------------------------------------------------------------------------------
 
 _KIND = "['EstablishedHeading', 'ReferenceUntracted', 'ReferenceTraced', 'Subdivision', 'NodeLabel', 'EstablishedHeadingAndSubdivision', 'ReferenceAndSubdivision'][k % 7 + 1]"
@@ -216,7 +225,7 @@ for _name, _value, _sql in (
     ("related_heading", lambda: E.value_of(A.related_heading(), "a"), f"nullif({_SEE_ALSO}, '')"),
     ("subdivisions", lambda: A.subdivisions(A.heading()), "concat_ws('|', CASE WHEN k % 6 = 0 THEN 'History' END, CASE WHEN k % 12 = 0 THEN 'Maps' END)"),
     ("scope_note", A.scope_note, "CASE WHEN k % 2 = 1 THEN 'Scope ' || c_mktsegment END"),
-    ("record_problem", lambda: V.leader_problem("authority"), "'encoding_level'"),
+    ("record_problem", lambda: V.leader_problem("authority"), "CASE WHEN k % 6 = 0 THEN NULL WHEN k % 2 = 0 THEN 'cataloging_form' ELSE 'encoding_level' END"),
 ):
     each("authority", f"auth_{_name}", _value, _sql)
 
@@ -245,9 +254,9 @@ for _name, _value, _sql in (
 # whole tables -------------------------------------------------------------------------------------------------
 
 
-def framed(records: DataFrame, kind: str = "bib") -> DataFrame:
+def framed(records: DataFrame, kind: str = "bib", mode: str = "strict") -> DataFrame:
     """Records as bytes, as a scan would give them."""
-    rows = I.encoded(records, kind).select(F.col("rec_id").alias("id"), F.col("raw").alias("bytes"))
+    rows = I.encoded(records, kind, mode).select(F.col("rec_id").alias("id"), F.col("raw").alias("bytes"))
     rows = E.once(rows, rec_id=F.col("id"), raw=F.col("bytes"))
     return rows.select("rec_id", F.lit("testkit").alias("source"), F.lit(None).cast("bigint").alias("rec_index"), F.lit(None).cast("bigint").alias("byte_offset"), "raw")
 
@@ -291,9 +300,55 @@ def _(spark, sf_dir):
     return I.parse(framed(testkit.holdings(spark, sf_dir), "holdings"), "holdings").select("rec_id", A.holding_location().alias("branch"))
 
 
-@query("scan_strict_marc", "SELECT p_partkey AS rec_id, 0 AS n_errors FROM part")
+@query("scan_strict_marc", "SELECT k AS rec_id, CAST((k % 5 = 0)::INT + (k % 6 = 0)::INT + (k % 10 = 3)::INT + (k % 19 = 0 OR k % 13 = 0)::INT AS INT) AS n_errors FROM (SELECT p_partkey AS k FROM part) WHERE k % 9 <> 0 AND k % 50 <> 0")
+def _(spark, sf_dir):
+    """Records that fit, by the strict rules: leaders, indicators and subfield codes."""
+    return I.parse(framed(testkit.rich(spark, sf_dir), mode="permissive"), validation="strict_marc").select("rec_id", F.size("errors").alias("n_errors"))
+
+
+@query("scan_salvage", "SELECT 'E005' AS code, count(*) AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'E001', count(*) FROM part WHERE p_partkey % 3 = 1")
+def _(spark, sf_dir):
+    rows = I.parse(testkit.broken(framed(testkit.bib(spark, sf_dir))))
+    return rows.select(F.explode("errors.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("scan_salvage_rows", "SELECT p_partkey AS rec_id, CASE p_partkey % 3 WHEN 0 THEN 'truncated_record' ELSE 'record_length_invalid' END AS slug, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS title FROM part WHERE p_partkey % 3 <> 2")
+def _(spark, sf_dir):
+    """Only records with errors, and what could be read of them."""
+    rows = I.parse(testkit.broken(framed(testkit.bib(spark, sf_dir)))).where(F.size("errors") > 0)
+    return rows.select("rec_id", F.get("errors.slug", F.lit(0)).alias("slug"), A.title().alias("title"))
+
+
+@query("scan_max_errors", """WITH e AS (SELECT p_partkey AS rec_id, CAST(p_partkey % 3 <> 2 AS INT) AS n, sum(CAST(p_partkey % 3 <> 2 AS INT)) OVER (ORDER BY p_partkey) AS upto FROM part)
+    SELECT rec_id, CAST(n + CASE WHEN upto > 3 THEN 1 ELSE 0 END AS INT) AS n_errors FROM e WHERE upto - n <= 3""")
+def _(spark, sf_dir):
+    """Reading ends with the record that has one error more than allowed."""
+    rows = I.parse(testkit.broken(framed(testkit.bib(spark, sf_dir))))
+    return I.capped(rows, 3).select("rec_id", F.size("errors").alias("n_errors"))
+
+
+def _from_files(framing: str) -> Query:
+    def run(spark, sf_dir):
+        path = testkit.folder(spark)
+        M.write(testkit.bib(spark, sf_dir), path)
+        return M.read(spark, path, framing=framing).select(A.control_number().alias("control_number"), A.title().alias("title"), F.array_join(A.subjects(), "|").alias("subjects"))
+
+    return run
+
+
+for _framing in ("terminator", "length"):
+    query(f"scan_files_{_framing}", f"SELECT CAST(k AS VARCHAR) AS control_number, p_name AS title, {_bars(TOPICS, GEOGRAPHIC)} AS subjects FROM (SELECT *, p_partkey AS k FROM part)")(_from_files(_framing))
+
+
+@query("file_boundaries", "SELECT count(*) AS n, count(*) AS numbered, 0 AS gaps FROM part")
 def _(spark, sf_dir):
-    return I.parse(framed(testkit.bib(spark, sf_dir)), validation="strict_marc").select("rec_id", F.size("errors").alias("n_errors"))
+    """Records of files with their numbers and offsets: each begins where the one before ends."""
+    path = testkit.folder(spark)
+    M.write(testkit.bib(spark, sf_dir), path)
+    rows = M.scan_frames(spark, path, positions=True).select("source", "rec_index", "byte_offset", F.octet_length("raw").alias("n"))
+    after = rows.select("source", (F.col("rec_index") + 1).alias("rec_index"), (F.col("byte_offset") + F.col("n")).alias("begin"))
+    rows = rows.join(after, ["source", "rec_index"], "left")
+    return rows.agg(F.count("*").alias("n"), F.count("rec_index").alias("numbered"), F.count_if(F.coalesce("begin", F.lit(0)) != F.col("byte_offset")).cast("int").alias("gaps"))
 
 
 @query("boundaries", "SELECT count(*) AS n, true AS contiguous FROM part")

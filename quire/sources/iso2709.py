@@ -6,8 +6,10 @@ cleanness go to the salvaging reader, which recovers what it can and says what i
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -383,15 +385,22 @@ def positioned(frames_: DataFrame) -> DataFrame:
     return frames_.withColumns({"rec_index": F.row_number().over(order).cast("bigint"), "byte_offset": F.coalesce(before, F.lit(0)).cast("bigint")})
 
 
-def by_length(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of records framed by their leaders; a bad length ends the stream with MarcError E001."""
+def by_length(source: bytes | BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of records framed by their leaders, one in memory at a time; a bad length ends the stream with MarcError E001."""
     at = 0
-    while len(data) - at >= 24:
-        head = data[at : at + 5].decode("latin-1")
-        if not _LEADER_NUMBER.match(head) or int(head) < 24:
-            raise MarcError("E001", f"record length {head!r}", byte_offset=at)
-        yield at, data[at : at + int(head)]
-        at += int(head)
+    with io.BytesIO(source) if isinstance(source, bytes) else source as stream:
+        while len(lead := stream.read(24)) == 24:
+            head = lead[:5].decode("latin-1")
+            if not _LEADER_NUMBER.match(head) or int(head) < 24:
+                raise MarcError("E001", f"record length {head!r}", byte_offset=at)
+            yield at, lead + stream.read(int(head) - 24)
+            at += int(head)
+
+
+def records_of(source: bytes | BinaryIO, kind: str = "bib", mode: str = "strict", validation: str = "structural") -> Iterator[dict]:
+    """Records of bytes in memory or of an open file, without Spark: leader, control, fields and errors of each."""
+    for index, (offset, raw) in enumerate(by_length(source), 1):
+        yield salvage(raw, kind, mode, validation, index, offset)
 
 
 def capped(records: DataFrame, most: int = 10_000) -> DataFrame:

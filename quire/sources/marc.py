@@ -58,9 +58,7 @@ class MarcReader(DataSourceReader):
         kind, mode, validation = self.options.get("kind", "bib"), self.options.get("mode", "FAILFAST"), self.options.get("validation", "structural")
         most, seen, rows, last = int(self.options.get("max_errors", 10_000)), 0, [], False
         target = to_arrow_schema(self.schema)
-        with open(partition.path, "rb") as source:
-            data = source.read()
-        frames = I.by_length(data)
+        frames = I.by_length(open(partition.path, "rb"))
         index = 0
         while not last:
             index += 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,9 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def leader(record_type: Column | str = "a", level: Column | str = "m", status: str = "n", coding: str = "a") -> Column:
+def leader(record_type: Column | str = "a", level: Column | str = "m", status: Column | str = "n", coding: Column | str = "a", encoding: Column | str = " ", form: Column | str = "a") -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = {"record_length": 0, "record_status": status, "record_type": record_type, "bibliographic_level": level, "control_record_type": " ", "character_coding": coding, "indicator_count": 2, "subfield_code_count": 2, "data_base_address": 0, "encoding_level": " ", "cataloging_form": "a", "multipart_level": " ", "reserved": "4500"}
+    values = {"record_length": 0, "record_status": status, "record_type": record_type, "bibliographic_level": level, "control_record_type": " ", "character_coding": coding, "indicator_count": 2, "subfield_code_count": 2, "data_base_address": 0, "encoding_level": encoding, "cataloging_form": form, "multipart_level": " ", "reserved": "4500"}
     return F.struct(*[lit(v).alias(n) for n, v in values.items()]).cast(LEADER)
 
 
@@ -87,6 +90,51 @@ def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each part with the rarer fields, and with a fault of each kind in every so many."""
+    k = F.col("p_partkey")
+    s = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    every = lambda n, x: F.when(k % n == 0, x)
+    odd = E.field("246", F.when(k % 19 == 0, "\x07").otherwise("1"), " ", F.array(F.struct(F.when(k % 13 == 0, " ").otherwise("a").alias("code"), F.lit("Other title").alias("value"))))
+    filler = F.transform(F.sequence(F.lit(1), F.when(k % 50 == 0, 11).otherwise(1)), lambda _: E.field("599", " ", " ", E.subfields(("a", F.when(k % 50 == 0, F.lit("y" * 9_900)).otherwise("y")))))
+    return record(
+        table(spark, sf_dir, "part"), k, "bib",
+        leader("a", "m", F.when(k % 5 == 0, "q").otherwise("n"), F.when(k % 4 == 0, " ").otherwise("a")),
+        [("001", F.when(k % 7 != 0, k)), ("008", F.when(k % 11 != 0, F.lit("240101s1999    xxu" + " " * 17 + "eng d")))],
+        [
+            one("010", " ", " ", ("a", s("lccn", k.cast("string"))), when=k % 2 == 0),
+            one("022", " ", " ", ("a", s("1234-", F.lpad((k % 1000).cast("string"), 4, "0"))), when=k % 3 == 0),
+            one("024", " ", " ", ("a", s("other", k.cast("string"))), when=k % 4 == 1),
+            one("086", " ", " ", ("a", s("D ", k.cast("string"))), when=k % 5 == 1),
+            one("130", "0", " ", ("a", s("Uniform ", F.col("p_brand"))), when=k % 6 == 1),
+            one("222", " ", "0", ("a", s("Key title ", k.cast("string"))), when=k % 3 == 1),
+            one("245", "1", F.when(k % 6 == 0, "x").otherwise("0"), ("a", F.col("p_name"))),
+            F.array(odd),
+            one("500", " ", " ", ("a", F.coalesce(every(3, F.lit("\x1b(Babc")), F.lit("plain")))),
+            one("501", " ", " ", ("a", F.coalesce(every(8, F.lit("éàü")), F.lit("plain")))),
+            one("520", " ", " ", ("a", F.coalesce(every(9, F.lit("x" * 10_000)), F.lit("short")))),
+            F.array(E.field("650", F.when(k % 10 == 3, "5").otherwise(" "), "0", E.subfields(("a", F.lit("Topic"))))),
+            filler,
+        ],
+    )
+
+
+def broken(frames: DataFrame) -> DataFrame:
+    """Every third record cut short by a byte, every third with a bad length."""
+    raw = F.col("raw")
+    return frames.withColumn("raw", F.when(F.col("rec_id") % 3 == 0, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).when(F.col("rec_id") % 3 == 1, F.concat(F.lit(b"x"), F.substring(raw, F.lit(2), F.octet_length(raw)))).otherwise(raw))
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; in local mode, where it is unset, in one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = spark.sparkContext.__dict__.setdefault("_quire_files", "file://" + tempfile.mkdtemp(prefix="quire-"))
+    return f"{at.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One authority record for each customer: personal names, and every third a corporate one."""
     rows = table(spark, sf_dir, "customer")
@@ -95,7 +143,7 @@ def authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds, levels = (F.array(*[F.lit(x) for x in t]) for t in ("abcdefg", "abcdn"))
     c008 = s("240101", "n||", F.element_at(kinds, (k % 7 + 1).cast("int")), " " * 23, F.element_at(levels, (k % 5 + 1).cast("int")), " " * 6)
     return record(
-        rows, k, "authority", leader("z", " "),
+        rows, k, "authority", leader("z", " ", encoding=F.when(k % 2 == 0, "n").otherwise(" "), form=F.when(k % 6 == 0, "i").otherwise("a")),
         [("001", k), ("008", c008)],
         [
             one("110", "2", " ", ("a", name), ("x", F.when(k % 2 == 0, F.lit("History"))), ("v", F.when(k % 4 == 0, F.lit("Maps"))), when=k % 3 == 0),
