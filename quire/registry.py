@@ -11,8 +11,10 @@ from quire import testkit
 from quire.functions import access as A
 from quire.functions import codecs as C
 from quire.functions import expr as E
+from quire.functions import errors, marc8, mods
 from quire.functions import scalars as S
 from quire.functions import validate as V
+from quire.operators import build as B
 from quire.operators import edit as X
 from quire.operators import link as L
 from quire.plans import dsl as D
@@ -469,3 +471,93 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     text = testkit.bib(spark, sf_dir).select("rec_id", C.to_dublin_core_xml().alias("t"))
     return text.select("rec_id", F.replace(F.regexp_extract("t", "<dc:title>([^<]*)<", 1), F.lit("&amp;"), F.lit("&")).alias("title"))
+
+
+# expected texts of the codecs -----------------------------------------------------------------------------------
+
+
+def _small(spark, sf_dir) -> DataFrame:
+    """Records of a few fields whose text the SQL spells out."""
+    part = testkit.table(spark, sf_dir, "part")
+    title = testkit.one("245", "1", "0", ("a", F.col("p_name")), ("c", F.concat(F.lit("by <"), F.col("p_brand"), F.lit("> & \"co\""))))
+    topic = testkit.one("650", " ", "0", ("a", F.col("p_type")), when=F.col("p_partkey") % 2 == 0)
+    return testkit.record(part, F.col("p_partkey"), "bib", testkit.leader(), [("001", F.col("p_partkey"))], [title, topic])
+
+
+_LEADER_TEXT = "00000nam a2200000 a 4500"
+_RAW, _XML = "'by <' || p_brand || '> & \"co\"'", "'by &lt;' || p_brand || '&gt; &amp; \"co\"'"
+_JSON_RAW = "'by <' || p_brand || '> & ' || chr(92) || '\"co' || chr(92) || '\"'"
+
+
+def _text_of(name: str, make: Callable[[], Column], sql: str) -> None:
+    query(f"text_{name}", f"SELECT p_partkey AS rec_id, {sql} AS text FROM part")(lambda spark, sf_dir: _small(spark, sf_dir).select("rec_id", make().alias("text")))
+
+
+_text_of("marcxml", C.to_marcxml, f"""'<?xml version="1.0" encoding="UTF-8"?>' || '<record xmlns="http://www.loc.gov/MARC21/slim"><leader>{_LEADER_TEXT}</leader><controlfield tag="001">' || p_partkey || '</controlfield><datafield tag="245" ind1="1" ind2="0"><subfield code="a">' || p_name || '</subfield><subfield code="c">' || {_XML} || '</subfield></datafield>'
+    || CASE WHEN p_partkey % 2 = 0 THEN '<datafield tag="650" ind1=" " ind2="0"><subfield code="a">' || p_type || '</subfield></datafield>' ELSE '' END || '</record>'""")
+
+
+@query("mods_read", "SELECT p_partkey AS rec_id, 'i' AS record_type, CAST(p_partkey AS VARCHAR) AS control_number, 'The ' || p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'Maker ' || p_brand END AS author, CASE WHEN p_partkey % 2 = 1 THEN 'Maker ' || p_brand END AS contributor, p_type || '|' || 'Place' AS subjects, 'Town|House|1999' AS imprint, '020|245|' || CASE WHEN p_partkey % 2 = 0 THEN '100' ELSE '700' END || '|260|250|300|520|500|650|651|041|655|050|856|852|773|506|505|521|040' AS tags FROM part")
+def _(spark, sf_dir):
+    """MODS documents as records, each element once."""
+    part = testkit.table(spark, sf_dir, "part")
+    s = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    xml = s(
+        '<m:mods xmlns:m="http://www.loc.gov/mods/v3"><m:identifier type="isbn">978</m:identifier><m:identifier type="local">', F.col("p_partkey").cast("string"), "</m:identifier><m:titleInfo><m:nonSort>A</m:nonSort><m:title>The ", F.col("p_name"), "</m:title></m:titleInfo>",
+        '<m:name type="personal"><m:namePart>Maker</m:namePart><m:namePart>', F.col("p_brand"), '</m:namePart><m:namePart type="date">1950-</m:namePart><m:role><m:roleTerm>', F.when(F.col("p_partkey") % 2 == 0, "creator").otherwise("editor"), "</m:roleTerm></m:role></m:name>",
+        "<m:typeOfResource>sound recording</m:typeOfResource><m:originInfo><m:place><m:placeTerm>Town</m:placeTerm></m:place><m:publisher>House</m:publisher><m:dateCreated>1998</m:dateCreated><m:dateIssued>1999</m:dateIssued><m:edition>2nd</m:edition></m:originInfo>",
+        "<m:physicalDescription><m:extent>5 p.</m:extent></m:physicalDescription><m:abstract>Short</m:abstract><m:note>Seen</m:note><m:subject><m:topic>", F.col("p_type"), "</m:topic><m:geographic>Place</m:geographic></m:subject><m:language><m:languageTerm>eng</m:languageTerm></m:language><m:genre>tale</m:genre>",
+        '<m:classification authority="lcc">QA</m:classification><m:location><m:url>http://x</m:url><m:physicalLocation>Lib</m:physicalLocation></m:location><m:relatedItem type="host"><m:titleInfo><m:title>Host</m:title></m:titleInfo></m:relatedItem><m:accessCondition type="restrictionOnAccess">No</m:accessCondition>',
+        "<m:tableOfContents>One</m:tableOfContents><m:targetAudience>All</m:targetAudience><m:recordInfo><m:recordContentSource>Src</m:recordContentSource></m:recordInfo></m:mods>",
+    )
+    rows = part.select(F.col("p_partkey").alias("rec_id"), mods.from_mods(xml).alias("r")).select("rec_id", "r.*")
+    joined = lambda *codes: F.array_join(E.values_of(E.first_of("260"), *codes), "|")
+    return rows.select("rec_id", F.col("leader.record_type").alias("record_type"), A.control_number().alias("control_number"), A.title().alias("title"), A.author().alias("author"), F.get(A.authors(), 0).alias("contributor"), F.array_join(F.slice(A.subjects(), 1, 2), "|").alias("subjects"), joined("a", "b", "c").alias("imprint"), F.array_join(F.col("fields")["tag"], "|").alias("tags"))
+
+
+# MARC-8, error forms, builders ----------------------------------------------------------------------------------
+
+
+@query("marc8_decode", """SELECT p_partkey AS rec_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'Ł' || chr(769) || 'od' || chr(769) || 'z ' || p_partkey WHEN 2 THEN 'жук ' || p_partkey WHEN 3 THEN 'H₂O ' || p_partkey || chr(65533) ELSE 'αβω ' || p_partkey END AS text FROM part""")
+def _(spark, sf_dir):
+    """Plain ASCII, extended Latin with marks, Cyrillic, subscripts and an unfinished escape, Greek."""
+    part, k = testkit.table(spark, sf_dir, "part"), F.col("p_partkey")
+    number = F.concat(F.lit(" "), k.cast("string")).cast("binary")
+    odd = {1: (b"\xa1\xe2od\xe2z", b""), 2: (b"\x1b(NVUK\x1bs", b""), 3: (b"H\x1bb2\x1bsO", b"\x1b"), 4: (b"\x1b(Sab}\x1bs", b"")}
+    raw = F.when(k % 5 == 0, F.col("p_name").cast("binary"))
+    for n, (before, after) in odd.items():
+        raw = raw.when(k % 5 == n, F.concat(F.lit(before), number, F.lit(after)))
+    return part.select(k.alias("rec_id"), marc8.decode_marc8(raw).alias("text"))
+
+
+@query("marc8_encode", """SELECT p_partkey AS rec_id, CASE p_partkey % 4 WHEN 0 THEN hex(encode(p_name)) WHEN 1 THEN '1B2945A11B73' || hex(encode('x' || p_partkey)) WHEN 2 THEN '1B284E56554B1B73' || hex(encode('-' || p_partkey)) ELSE '3F1B67611B73' || hex(encode('' || p_partkey)) END AS bytes FROM part""")
+def _(spark, sf_dir):
+    part, k = testkit.table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(F.lit("Łx"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("жук-"), k.cast("string"))).otherwise(F.concat(F.lit("中α"), k.cast("string")))
+    return part.select(k.alias("rec_id"), F.hex(marc8.encode_marc8(text)).alias("bytes"))
+
+
+@query("decode_by_leader", "SELECT p_partkey AS rec_id, CASE WHEN p_partkey % 2 = 0 THEN 'Ł' ELSE 'é' END || p_name AS text FROM part")
+def _(spark, sf_dir):
+    part, k = testkit.table(spark, sf_dir, "part"), F.col("p_partkey")
+    raw = F.concat(F.when(k % 2 == 0, F.lit(b"\xa1")).otherwise(F.lit("é".encode())), F.col("p_name").cast("binary"))
+    return part.select(k.alias("rec_id"), marc8.decode_bytes(raw, F.when(k % 2 == 0, " ").otherwise("a")).alias("text"))
+
+
+@query("error_json", """SELECT p_partkey AS rec_id, 'E001' AS code, 'RecordLengthInvalid' AS class, 'record_length_invalid' AS slug, '0' AS at, 'RecordLengthInvalid' AS first_line FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, 'E005', 'TruncatedRecord', 'truncated_record', NULL, 'TruncatedRecord' FROM part WHERE p_partkey % 3 = 0""")
+def _(spark, sf_dir):
+    """The errors of broken records as JSON objects, read again, and the head of their text."""
+    rows = I.parse(testkit.broken(framed(testkit.bib(spark, sf_dir)))).select("rec_id", F.explode("errors").alias("error"))
+    rows = rows.select("rec_id", errors.error_json(F.col("error")).alias("j"), errors.error_detail(F.col("error")).alias("d"))
+    part = lambda n: F.get_json_object("j", f"$.{n}").alias(n)
+    at = F.when(F.get_json_object("j", "$.code") == "E001", F.get_json_object("j", "$.record_byte_offset"))
+    return rows.select("rec_id", part("code"), part("class"), part("slug"), at.alias("at"), F.regexp_extract("d", "^([A-Za-z]+)", 1).alias("first_line"))
+
+
+@query("built_records", "SELECT p_partkey AS rec_id, CAST(p_partkey AS VARCHAR) AS control_number, p_name AS title, CASE WHEN p_size > 25 THEN p_type END AS subject, CASE WHEN p_size > 25 THEN '001|245|650' ELSE '001|245' END AS tags FROM part")
+def _(spark, sf_dir):
+    make = B.RecordBuilder().control_field("001", F.col("p_partkey")).field(B.FieldBuilder("245", "1", "0").subfield("a", F.col("p_name")).subfield("b", F.lit(None).cast("string")))
+    make = make.field(B.FieldBuilder("650", " ", "0").subfield("a", F.col("p_type")).when(F.col("p_size") > 25)).field(B.FieldBuilder("500").subfield("a", F.lit(None).cast("string")))
+    rows = make.build(testkit.table(spark, sf_dir, "part"), F.col("p_partkey"))
+    return rows.select("rec_id", A.control_number().alias("control_number"), A.title().alias("title"), F.get(A.subjects(), 0).alias("subject"), F.array_join(F.concat(F.col("control")["tag"], F.col("fields")["tag"]), "|").alias("tags"))
