@@ -11,6 +11,7 @@ from quire import testkit
 from quire.functions import access as A
 from quire.functions import codecs as C
 from quire.functions import expr as E
+from quire.functions import bibframe as BF
 from quire.functions import errors, marc8, mods
 from quire.functions import scalars as S
 from quire.functions import validate as V
@@ -530,7 +531,7 @@ def _(spark, sf_dir):
     return part.select(k.alias("rec_id"), marc8.decode_marc8(raw).alias("text"))
 
 
-@query("marc8_encode", """SELECT p_partkey AS rec_id, CASE p_partkey % 4 WHEN 0 THEN hex(encode(p_name)) WHEN 1 THEN '1B2945A11B73' || hex(encode('x' || p_partkey)) WHEN 2 THEN '1B284E56554B1B73' || hex(encode('-' || p_partkey)) ELSE '3F1B67611B73' || hex(encode('' || p_partkey)) END AS bytes FROM part""")
+@query("marc8_encode", """SELECT p_partkey AS rec_id, CASE p_partkey % 4 WHEN 0 THEN hex(encode(p_name)) WHEN 1 THEN '1B2945A11B73' || hex(encode('x' || p_partkey)) WHEN 2 THEN '1B284E56554B1B73' || hex(encode('-' || p_partkey)) ELSE '3F1B2853611B73' || hex(encode('' || p_partkey)) END AS bytes FROM part""")
 def _(spark, sf_dir):
     part, k = testkit.table(spark, sf_dir, "part"), F.col("p_partkey")
     text = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(F.lit("Łx"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("жук-"), k.cast("string"))).otherwise(F.concat(F.lit("中α"), k.cast("string")))
@@ -561,3 +562,117 @@ def _(spark, sf_dir):
     make = make.field(B.FieldBuilder("650", " ", "0").subfield("a", F.col("p_type")).when(F.col("p_size") > 25)).field(B.FieldBuilder("500").subfield("a", F.lit(None).cast("string")))
     rows = make.build(testkit.table(spark, sf_dir, "part"), F.col("p_partkey"))
     return rows.select("rec_id", A.control_number().alias("control_number"), A.title().alias("title"), F.get(A.subjects(), 0).alias("subject"), F.array_join(F.concat(F.col("control")["tag"], F.col("fields")["tag"]), "|").alias("tags"))
+
+
+# BIBFRAME -----------------------------------------------------------------------------------------------------
+
+_AT = "http://example.org/"
+
+
+def _triples(spark, sf_dir) -> DataFrame:
+    return BF.to_bibframe(testkit.bib(spark, sf_dir), _AT)
+
+
+def _objects(triples: DataFrame, p: str) -> DataFrame:
+    return triples.where((F.col("p") == BF.BF + p) & (F.col("o_kind") == "literal"))
+
+
+@query("bibframe_types", f"""SELECT k AS rec_id, concat_ws('|', 'Work', CASE WHEN ({LEVEL}) = 's' THEN 'Serial' ELSE 'Instance' END, CASE ({TYPE}) WHEN 'a' THEN 'Text' WHEN 'c' THEN 'NotatedMusic' ELSE 'MovingImage' END) AS types,
+    '{_AT}work/' || k || ' {_AT}instance/' || k AS link FROM (SELECT *, p_partkey AS k FROM part)""")
+def _(spark, sf_dir):
+    """The classes of works and instances, and how they are linked."""
+    rows = _triples(spark, sf_dir)
+    types = rows.where((F.col("p") == BF.RDF + "type") & (F.col("s_kind") == "uri") & ~F.col("s").contains("/item/")).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.substring_index("o", "/", -1).alias("t")))).alias("x"))
+    links = rows.where(F.col("p") == BF.BF + "hasInstance").select("rec_id", F.concat_ws(" ", "s", "o").alias("link"))
+    return types.join(links, "rec_id").select("rec_id", F.array_join(F.col("x")["t"], "|").alias("types"), "link")
+
+
+@query("bibframe_titles", "SELECT p_partkey AS rec_id, p_name AS title, 'by ' || p_brand AS statement, CASE WHEN p_partkey % 4 = 0 THEN 'el Ω ' || p_name END AS parallel FROM part")
+def _(spark, sf_dir):
+    rows = _triples(spark, sf_dir)
+    own, other = (_objects(rows, "mainTitle").where(x) for x in ("lang IS NULL", "lang IS NOT NULL"))
+    said = _objects(rows, "responsibilityStatement").select("rec_id", F.col("o").alias("statement"))
+    return own.select("rec_id", F.col("o").alias("title")).join(said, "rec_id").join(other.select("rec_id", F.concat_ws(" ", "lang", "o").alias("parallel")), "rec_id", "left")
+
+
+_AGENT_ROWS = f"SELECT k AS rec_id, 'PrimaryContribution' AS role, CASE WHEN k % 6 <> 0 THEN 'Person' ELSE 'Organization' END AS class, CASE WHEN k % 6 <> 0 THEN 'Author ' || k % 50 || ' ' || {DATES} ELSE 'Corporation ' || k % 12 END AS label FROM (SELECT *, p_partkey AS k FROM part)"
+
+
+@query("bibframe_agents", f"{_AGENT_ROWS} UNION ALL SELECT k, 'Contribution', 'Person', 'Contributor ' || k % 17 || CASE WHEN k % 2 = 0 THEN ' b. ' || {YEAR} ELSE '' END FROM (SELECT *, p_partkey AS k FROM part) UNION ALL SELECT k, 'Contribution', 'Person', 'Editor ' || k % 23 FROM (SELECT *, p_partkey AS k FROM part) WHERE k % 3 = 0")
+def _(spark, sf_dir):
+    """Contributions with their agents: joins over the triples."""
+    rows = _triples(spark, sf_dir)
+    types = rows.where(F.col("p") == BF.RDF + "type").select("rec_id", F.col("s").alias("node"), F.regexp_extract("o", "([^/]*)$", 1).alias("class"))
+    labels = rows.where(F.col("p") == BF.RDFS + "label").select("rec_id", F.col("s").alias("node"), F.col("o").alias("label"))
+    agents = rows.where(F.col("p") == BF.BF + "agent").join(types.select("rec_id", F.col("node").alias("s"), F.col("class").alias("role")).where("role LIKE '%Contribution'"), ["rec_id", "s"])
+    return agents.select("rec_id", "role", F.col("o").alias("node")).join(types, ["rec_id", "node"]).join(labels, ["rec_id", "node"]).select("rec_id", "role", "class", "label")
+
+
+@query("bibframe_subjects", "SELECT k AS rec_id, 'Topic' AS class, CASE WHEN k % 3 = 0 THEN w || '--History ' || (i - 1) ELSE w END AS label FROM " + _WORDS + " UNION ALL SELECT p_partkey, 'Place', 'Place ' || p_partkey % 9 FROM part WHERE p_partkey % 4 = 1")
+def _(spark, sf_dir):
+    rows = _triples(spark, sf_dir)
+    nodes = rows.where(F.col("p") == BF.BF + "subject").select("rec_id", F.col("o").alias("s"))
+    found = rows.join(nodes, ["rec_id", "s"]).groupBy("rec_id", "s").agg(F.max(F.when(F.col("p") == BF.RDF + "type", F.regexp_extract("o", "([^/]*)$", 1))).alias("class"), F.max(F.when(F.col("p") == BF.RDFS + "label", F.col("o"))).alias("label"))
+    return found.drop("s")
+
+
+@query("bibframe_provision", f"SELECT k AS rec_id, 'Publication' AS class, {PLACE} AS place, {PUBLISHER} AS agent, {DATE} AS date FROM (SELECT *, p_partkey AS k FROM part) WHERE {HAS_260} OR {HAS_264}")
+def _(spark, sf_dir):
+    rows = _triples(spark, sf_dir)
+    nodes = rows.where(F.col("p") == BF.BF + "provisionActivity").select("rec_id", F.col("o").alias("s"))
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
+    found = rows.join(nodes, ["rec_id", "s"]).groupBy("rec_id", "s").agg(F.regexp_extract(of(BF.RDF + "type"), "([^/]*)$", 1).alias("class"), of(BF.BFLC + "simplePlace").alias("place"), of(BF.BFLC + "simpleAgent").alias("agent"), of(BF.BF + "date").alias("date"))
+    return found.drop("s")
+
+
+@query("bibframe_identifiers", f"SELECT k AS rec_id, 'Isbn' AS class, {ISBN} AS value FROM (SELECT *, p_partkey AS k FROM part)")
+def _(spark, sf_dir):
+    return _identifiers(_triples(spark, sf_dir))
+
+
+def _identifiers(rows: DataFrame) -> DataFrame:
+    nodes = rows.where(F.col("p") == BF.BF + "identifiedBy").select("rec_id", F.col("o").alias("s"))
+    found = rows.join(nodes, ["rec_id", "s"]).groupBy("rec_id", "s").agg(F.regexp_extract(F.max(F.when(F.col("p") == BF.RDF + "type", F.col("o"))), "([^/]*)$", 1).alias("class"), F.max(F.when(F.col("p") == BF.RDF + "value", F.col("o"))).alias("value"))
+    return found.drop("s")
+
+
+@query("bibframe_rich_identifiers", "SELECT k AS rec_id, 'Lccn' AS class, 'lccn' || k AS value FROM (SELECT p_partkey AS k FROM part) WHERE k % 2 = 0 UNION ALL SELECT k, 'Issn', '1234-' || lpad(CAST(k % 1000 AS VARCHAR), 4, '0') FROM (SELECT p_partkey AS k FROM part) WHERE k % 3 = 0 UNION ALL SELECT k, 'Identifier', 'other' || k FROM (SELECT p_partkey AS k FROM part) WHERE k % 4 = 1")
+def _(spark, sf_dir):
+    return _identifiers(BF.to_bibframe(testkit.rich(spark, sf_dir), _AT))
+
+
+@query("bibframe_statements", f"""SELECT k AS rec_id, 'extent' AS p, p_size || ' pages' AS o FROM (SELECT *, p_partkey AS k FROM part) UNION ALL SELECT p_partkey, 'note', 'Note ' || p_partkey % 7 FROM part UNION ALL SELECT p_partkey, 'note', 'Bibliography ' || p_partkey % 8 FROM part
+    UNION ALL SELECT p_partkey, 'seriesStatement', p_brand FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'heldBy', 'Library ' || p_partkey % 5 FROM part UNION ALL SELECT p_partkey, 'subLocation', 'Branch ' || p_partkey % 3 FROM part UNION ALL SELECT p_partkey, 'creationDate', '240101' FROM part""")
+def _(spark, sf_dir):
+    """Physical description, notes, series, holdings and administrative data."""
+    rows = _triples(spark, sf_dir).where("o_kind = 'literal'").select("rec_id", F.regexp_extract("p", "([^/]*)$", 1).alias("p"), "o")
+    return rows.where(F.col("p").isin("extent", "note", "seriesStatement", "heldBy", "subLocation", "creationDate"))
+
+
+@query("bibframe_hub", "SELECT p_partkey AS rec_id, 'Uniform ' || p_brand AS title, 'Latin' AS language, '1900' AS date, 'Precedes it' AS earlier, '1:50000' AS scale, 'MusicKey' AS other FROM part WHERE p_partkey % 2 = 0")
+def _(spark, sf_dir):
+    """Uniform titles as hubs, linked entries, map and music data, written and read as lines."""
+    part, k = testkit.table(spark, sf_dir, "part").where("p_partkey % 2 = 0"), F.col("p_partkey")
+    fields = [testkit.one("240", "1", "0", ("a", F.concat(F.lit("Uniform "), F.col("p_brand"))), ("l", F.lit("Latin")), ("f", F.lit("1900"))), testkit.one("780", "0", "0", ("t", F.lit("Precedes it")), ("x", F.lit("0000-0000"))), testkit.one("255", " ", " ", ("a", F.lit("1:50000"))), testkit.one("384", " ", " ", ("a", F.lit("MusicKey")))]
+    maps, music = (BF.to_bibframe(testkit.record(part, k, "bib", testkit.leader(t), [("001", k)], fields), _AT) for t in ("e", "c"))
+    lines = maps.unionByName(music).withColumn("line", BF.to_ntriples()).select("rec_id", "line")
+    rows = BF.from_ntriples(lines)
+    hub = F.col("s").contains("/hub/")
+    of = lambda p, more=F.lit(True): F.max(F.when((F.col("p") == BF.BF + p) & more, F.col("o")))
+    titles = of("mainTitle", F.col("s").contains("f240")), of("mainTitle", F.col("s").contains("f780"))
+    return rows.groupBy("rec_id").agg(titles[0].alias("title"), of("language", hub).alias("language"), of("date", hub).alias("date"), titles[1].alias("earlier"), of("scale").alias("scale"), of("musicKey").alias("other"))
+
+
+@query("bibframe_lines", "SELECT count(*) AS records, true AS same, 0 AS unread FROM part")
+def _(spark, sf_dir):
+    """Triples as N-Triples and read again: nothing is lost or changed."""
+    rows = _triples(spark, sf_dir)
+    again = BF.from_ntriples(rows.select("rec_id", "seq", BF.to_ntriples().alias("line")))
+    both = rows.join(again.select("rec_id", "seq", *[F.col(c).alias(f"{c}_") for c in ("s", "p", "o", "o_kind", "lang")]), ["rec_id", "seq"], "left")
+    same = F.min((F.col("s") == F.col("s_")) & (F.col("p") == F.col("p_")) & (F.col("o") == F.col("o_")) & (F.col("o_kind") == F.col("o_kind_")) & F.col("lang").eqNullSafe(F.col("lang_")))
+    return both.agg(F.count_distinct("rec_id").alias("records"), same.alias("same"), F.count_if(F.col("s_").isNull()).cast("int").alias("unread"))
+
+
+@query("bibframe_control_number", "SELECT p_partkey AS rec_id, CAST(p_partkey AS VARCHAR) AS control_number FROM part")
+def _(spark, sf_dir):
+    return BF.find_control_number(_triples(spark, sf_dir))
