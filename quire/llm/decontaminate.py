@@ -9,7 +9,7 @@ The set is broadcast while it has up to ``max_broadcast`` n-grams; a larger one
 hashes by a shuffle, with the same result.
 
 Cases: null or empty texts and items, and those shorter than n words, hit nothing; a null id is treated
-like any other; repeated rows are each judged; an empty benchmark changes nothing; extra columns stay.
+like any other; repeated rows are each judged; an empty benchmark changes nothing; an empty documents table gives an empty result; very long texts are read whole; extra columns stay.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, shield, stored
+from quire.llm.common import Shield, may_be_in, shield, stored
 
 N = 8
 DROP_SHARE = 0.5
@@ -120,7 +120,8 @@ def _joined(sealed: Shield, grams: DataFrame, n: int) -> DataFrame:
                 take = pa.array(doc + tokens.lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - tokens.offsets[doc]).astype(np.int32)), pa.array(keys[at].view(np.int64))], ["doc_id", "text_hash", "place", "h"])
 
-    hits = sealed.keyed().mapInArrow(windows, "doc_id bigint, text_hash bigint, place int, h bigint").join(grams, "h").distinct()
+    found = sealed.keyed().mapInArrow(K.tidied(windows), "doc_id bigint, text_hash bigint, place int, h bigint")
+    hits = found.where(may_be_in(F.col("h"), grams.select("h"))).join(grams, "h").distinct()  # only windows that may hit are shuffled
     spots = stored(hits.groupBy(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash")).agg(F.collect_list(F.struct("place", "gram", "item_id")).alias("q_spots")))
 
     @F.arrow_udf(RESULT)

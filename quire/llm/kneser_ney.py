@@ -39,7 +39,7 @@ START = 0  # stands before the first word of a text
 ROUNDS = 4
 QUANTILE = 0.995
 LEAST = 50
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 8_000_000  # of all documents, in a shard over all turns
 ROWS = 10_000  # documents of a packed batch
 MARKS = 1 << 26
 

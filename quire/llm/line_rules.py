@@ -6,7 +6,7 @@ noise or shouting, or when few of its words differ.  Failing lines go; a documen
 ``keep_share`` of the characters of its non-blank lines is rejected.
 
 Cases: a null or blank text loses nothing and is kept with an empty text; a null id is kept like any
-other; repeated rows are each judged; an empty table gives an empty result.  No Python runs here.
+other; repeated rows are each judged; a very long text is judged line by line, whole; an empty table gives an empty result.  No Python runs here.
 """
 
 from __future__ import annotations

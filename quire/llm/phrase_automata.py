@@ -9,7 +9,7 @@ shard, so sharding loses none.
 
 Cases: null, empty and short texts hold no passage; null ids come before all others in the order of
 occurrences; rows with the same doc_id and text are one document; of several occurrences in one document the
-first may stay; an empty table gives an empty result; extra columns stay.
+first may stay; a very long text is cut into stretches like any other; an empty table gives an empty result; extra columns stay.
 """
 
 from __future__ import annotations

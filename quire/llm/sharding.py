@@ -4,7 +4,7 @@ Each row descends region, rack and shard.  At a node every child draws ``-ln(u)
 the row's key and the child's name, and the least draw wins, so a child gets rows in proportion to its
 weight and a changed weight moves rows only between children of that node (and below it).
 
-Cases: a null key is placed under the key ``null``; equal keys always go to the same shard; an empty
+Cases: a null key is placed under the key ``null``; equal keys (ties) always go to the same shard; texts, of any length, are not read; an empty
 table gives an empty result; other columns, whatever their names, are ignored.
 """
 

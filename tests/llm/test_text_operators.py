@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pytest
@@ -210,3 +211,31 @@ def test_a_vocabulary_must_have_all_bytes(tmp_path):
     (tmp_path / "v").write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError):
         bpe.read_ranks(str(tmp_path / "v"))
+
+
+def test_ftrl_is_that_of_a_plain_implementation():
+    """The fit against FTRL-proximal coordinate by coordinate, with dictionaries and no numpy."""
+    draw = np.random.default_rng(9)
+    rows = [(np.unique(draw.integers(0, 60, draw.integers(1, 12)) + (40 if y else 0)).astype(np.int32), y) for y in draw.integers(0, 2, 200).tolist()]
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= toxicity.L1:
+            return 0.0
+        return -(zi - (1 if zi > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    train = [r for i, r in enumerate(rows) if i % 5 != 4]
+    for _ in range(toxicity.EPOCHS):
+        for bag, y in train:
+            at = [*bag.tolist(), toxicity.DIMS]
+            p = 1 / (1 + math.exp(-sum(map(weight, at))))
+            for i, w in [(i, weight(i)) for i in at]:
+                g = p - y
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / toxicity.ALPHA * w
+                n[i] = before + g * g
+    w, intercept, _ = toxicity.fit(rows)
+    assert intercept == pytest.approx(weight(toxicity.DIMS)) and len(w) == toxicity.DIMS
+    assert {int(i): w[i] for i in np.flatnonzero(w)} == pytest.approx({i: weight(i) for i in z if i != toxicity.DIMS and weight(i)})
+    assert np.count_nonzero(w) < len(z)  # L1 leaves some at exactly zero
