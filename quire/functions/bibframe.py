@@ -7,7 +7,9 @@ the field that it stands for, so the names do not depend on how rows are spread.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,6 +339,12 @@ class _Graph:
 
 def graph(base_uri: str | None = None, bflc: bool = True, use_control_number: bool = True) -> Column:
     """The record's triples in order: array of struct(s, p, o, literal, lang); a name that begins with _: is a blank node."""
+    return _graph(SparkContext._active_spark_context, base_uri, bflc, use_control_number)
+
+
+@lru_cache(maxsize=8)
+def _graph(context: SparkContext, base_uri: str | None, bflc: bool, use_control_number: bool) -> Column:
+    """Kept for the session, as building so large an expression takes seconds."""
     return F.concat(*_Graph(base_uri, bflc, use_control_number).passes())
 
 
