@@ -392,6 +392,7 @@ def from_ntriples(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def find_control_number(triples: DataFrame) -> DataFrame:
-    """(rec_id, control_number): the end of the first work or instance's address."""
-    rows = triples.where((F.col("p") == _TYPE) & F.col("o").isin(f"{BF}Work", f"{BF}Instance") & (F.col("s_kind") == "uri"))
-    return rows.groupBy("rec_id").agg(F.min_by(F.regexp_extract("s", "([^/]*)$", 1), "seq").alias("control_number"))
+    """(rec_id, control_number): the value of the first Lccn or local identifier, by joins within records."""
+    nodes = triples.where(F.col("p") == _ID).select("rec_id", F.col("o").alias("s"), F.col("seq").alias("at"))
+    found = triples.join(nodes, ["rec_id", "s"]).groupBy("rec_id", "s").agg(F.min("at").alias("at"), F.bool_or((F.col("p") == _TYPE) & F.col("o").rlike("Lccn|Local")).alias("own"), F.max_by("o", F.when((F.col("p") == _VALUE) & (F.col("o_kind") == "literal"), F.col("seq"))).alias("value"))
+    return found.where("own AND value IS NOT NULL").groupBy("rec_id").agg(F.min_by("value", "at").alias("control_number"))

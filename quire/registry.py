@@ -18,6 +18,7 @@ from quire.functions import validate as V
 from quire.operators import build as B
 from quire.operators import edit as X
 from quire.operators import link as L
+from quire.operators import unbibframe as U
 from quire.plans import dsl as D
 from quire.plans.long import from_long, to_long
 from quire.sources import iso2709 as I
@@ -673,6 +674,27 @@ def _(spark, sf_dir):
     return both.agg(F.count_distinct("rec_id").alias("records"), same.alias("same"), F.count_if(F.col("s_").isNull()).cast("int").alias("unread"))
 
 
-@query("bibframe_control_number", "SELECT p_partkey AS rec_id, CAST(p_partkey AS VARCHAR) AS control_number FROM part")
+@query("bibframe_control_number", "SELECT p_partkey AS rec_id, 'lccn' || p_partkey AS control_number FROM part WHERE p_partkey % 2 = 0")
 def _(spark, sf_dir):
-    return BF.find_control_number(_triples(spark, sf_dir))
+    return BF.find_control_number(BF.to_bibframe(testkit.rich(spark, sf_dir), _AT))
+
+
+@query("bibframe_back", f"""SELECT k AS rec_id, CASE ({TYPE}) WHEN 'a' THEN 'a' WHEN 'c' THEN 'c' ELSE 'g' END || CASE WHEN ({LEVEL}) = 's' THEN 's' ELSE 'm' END AS kind, p_name || '|by ' || p_brand AS title,
+    CASE WHEN k % 6 <> 0 THEN 'Author ' || k % 50 || ' ' || {DATES} END AS author, 'Contributor ' || k % 17 || CASE WHEN k % 2 = 0 THEN ' b. ' || {YEAR} ELSE '' END AS contributor, {_bars(TOPICS, GEOGRAPHIC)} AS subjects, {ISBN} AS isbn,
+    CASE WHEN {HAS_260} OR {HAS_264} THEN concat_ws('|', {PLACE}, {PLACE}, {PUBLISHER}, {PUBLISHER}, {DATE}) ELSE '' END AS imprint, p_size || ' pages' AS extent, CASE WHEN ({HAS_260} OR {HAS_264}) AND k % 10 <> 7 THEN {YEAR} ELSE '    ' END AS year, CASE WHEN k % 3 = 1 THEN p_brand END AS series FROM (SELECT *, p_partkey AS k FROM part)""")
+def _(spark, sf_dir):
+    """Records to triples and back; places and agents come twice, as nodes and as simple values."""
+    rows = U.from_bibframe(_triples(spark, sf_dir))
+    imprint = E.values_of(F.get(E.fields_of("264"), 0), "a", "b", "c")
+    return rows.select("rec_id", F.concat("leader.record_type", "leader.bibliographic_level").alias("kind"), F.array_join(E.values_of(E.first_of("245"), "a", "c"), "|").alias("title"), A.author().alias("author"), F.get(A.authors(), 0).alias("contributor"), F.array_join(A.subjects(), "|").alias("subjects"), A.isbn().alias("isbn"),
+        F.coalesce(F.array_join(imprint, "|"), F.lit("")).alias("imprint"), A.physical_description().alias("extent"), E.text_008(7, 4).alias("year"), A.series().alias("series"))
+
+
+@query("bibframe_back_links", "SELECT p_partkey AS rec_id, '780' AS tag, 'Earlier ' || p_partkey AS title, '1111-2222' AS issn, 'Noted' AS note, 'Short' AS summary, 'My series' AS series FROM part")
+def _(spark, sf_dir):
+    part, k = testkit.table(spark, sf_dir, "part"), F.col("p_partkey")
+    lit = F.lit
+    fields = [testkit.one("780", "0", "0", ("t", F.concat(lit("Earlier "), k.cast("string"))), ("x", lit("1111-2222"))), testkit.one("500", " ", " ", ("a", lit("Noted"))), testkit.one("520", " ", " ", ("a", lit("Short"))), testkit.one("830", " ", "0", ("a", lit("My series")))]
+    rows = U.from_bibframe(BF.to_bibframe(testkit.record(part, k, "bib", testkit.leader(), [("001", k)], fields), _AT))
+    value = lambda tag, code: E.value_of(E.first_of(tag), code)
+    return rows.select("rec_id", E.first_of("780")["tag"].alias("tag"), value("780", "t").alias("title"), value("780", "x").alias("issn"), value("500", "a").alias("note"), value("520", "a").alias("summary"), value("830", "a").alias("series"))
