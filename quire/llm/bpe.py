@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import shield
+from quire.llm.common import arrow_rows, shield
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -179,6 +179,7 @@ def _laid(batch: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray, flat: np
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each row: doc_id, tokens, n_tokens, and whether decoding gives the text again (round_trip)."""
+    arrow_rows(docs.sparkSession, 1_000)
     ranks = read_ranks(vocabulary)
     text = F.coalesce(F.col("text"), F.lit(""))
     words = shield(docs).picked().select("doc_id", F.xxhash64(text).alias("sum"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("words"))

@@ -58,6 +58,11 @@ def small(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Sets the session's Arrow batch size to what an operator needs: whole texts come in few rows, so that the JVM's and the workers' buffers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def may_be_in(key, keys: DataFrame, bits: int = 1 << 26):
     """Whether a hash (bigint column) may be among keys (its one column): false only where it is not.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, may_be_in, shield, stored
+from quire.llm.common import Shield, arrow_rows, may_be_in, shield, stored
 
 N = 8
 DROP_SHARE = 0.5
@@ -145,6 +145,7 @@ def _joined(sealed: Shield, grams: DataFrame, n: int) -> DataFrame:
 
 def found(docs: DataFrame, items: DataFrame, n: int = N, max_broadcast: int = MAX_BROADCAST) -> tuple[Shield, DataFrame]:
     """The documents under positional names with ``q``, the finding (null: clean)."""
+    arrow_rows(docs.sparkSession, 2_000)
     sealed, grams = shield(docs), stored(benchmark_grams(items, n))
     if grams.count() > max_broadcast:
         return sealed, _joined(sealed, grams, n)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, discard, may_be_in, null_id, release, stored
+from quire.llm.common import Shield, arrow_rows, discard, may_be_in, null_id, release, stored
 
 VOCABULARY = 65_534  # smoothing reckons with this many words at least, and with all trained ones if there are more
 COMMON = 65_536
@@ -323,6 +323,7 @@ def perplexity(docs: DataFrame, model: Model, shards: int) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A stored table (doc_id, text_hash, lang, held, perplexity); held: kept out of training though trusted."""
     sealed = Shield(docs, doc_id="bigint", text="string", lang="string")
+    arrow_rows(docs.sparkSession, ROWS)  # a batch's keys are packed together, the better the more there are
     good = stored(trusted(docs, labels))
     texts = stored(marked(sealed.picked().select("doc_id", "text"), good.where("NOT held").select("doc_id")).select("text"))
     model = train(texts)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm import kernel as K
-from quire.llm.common import shield
+from quire.llm.common import arrow_rows, shield
 
 MINIMA, ROWS = 64, 2
 CONTAINMENT = 0.8
@@ -112,6 +112,7 @@ class Templates:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each document and license it holds: doc_id, license, windows (that hold it), containment (the best)."""
+    arrow_rows(docs.sparkSession, 2_000)
     known = Templates(templates)
     rows = shield(docs).picked()
 

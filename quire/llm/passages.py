@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, discard, may_be_in, release, small, stored
+from quire.llm.common import Shield, arrow_rows, discard, may_be_in, release, small, stored
 
 LENGTH = 50
 K_WORDS = 16
@@ -123,6 +123,7 @@ def _thinned(batch: pa.RecordBatch, length: int, names: list[str], key: np.ndarr
 def segments(sealed: Shield, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The stretches (SEGMENT) around recurring minimisers, sharded by minimiser and in its order."""
     rows, spark = sealed.keyed(), sealed.rows.sparkSession
+    arrow_rows(spark, 2_000)
     marks = rows.mapInArrow(K.tidied(_mark(length)), "key bigint, doc_id bigint, text_hash bigint, salt int, weight bigint, first int, last int")
     # no window has more rows than there are batches: a batch's own copies stand under salts, and pass in any case
     marks = stored(marks.withColumn("n", F.sum("weight").over(Window.partitionBy("key", "salt"))).where("n > 1").select("key", "doc_id", "text_hash", "first", "last", F.when(F.col("salt") == 0, F.col("n")).alias("n")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, shield, small, stored
+from quire.llm.common import Shield, arrow_rows, shield, small, stored
 
 WITHIN = 60
 STRIP = 64
@@ -298,6 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, within: int = WITHIN, size: int = LIST) -> DataFrame:
     """A stored table of the documents that a kept one stands for: doc_id and kept_id (the least id of the group)."""
+    arrow_rows(docs.sparkSession, 2_000)
     sealed = shield(docs)
 
     @F.arrow_udf("struct<f0 bigint, f1 bigint, f2 bigint, f3 bigint, n bigint>")

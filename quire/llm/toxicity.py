@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kernel as K
-from quire.llm.common import Shield, shield
+from quire.llm.common import Shield, arrow_rows, shield
 
 BITS = 20
 DIMS = 1 << BITS
@@ -115,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
 
 def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Shield, DataFrame, float]:
     """The documents under positional names with ``q``, the sum of weights; the threshold."""
+    arrow_rows(docs.sparkSession, 2_000)
     sealed = shield(docs)
     at, w, intercept, cut = train(docs, labels, max_rows)
     sent = docs.sparkSession.sparkContext.broadcast((at, w))
