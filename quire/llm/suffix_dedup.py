@@ -9,7 +9,8 @@ at least LENGTH words are later copies and go; the first copy (least doc_id, the
 stretch, and those of the following stretches go on from there, so a longer match is covered whole.
 
 A minimiser with more than passages.HOT occurrences has no suffix array: the first place of each of its windows is
-found by streaming the windows in order, with the same result.
+found by streaming the windows in order.  The removed ranges are the same; of several later copies in one batch of documents,
+``sources`` then names the batch's first document, which holds an earlier copy, too, but need not hold the first.
 
 Cases: null, empty and short texts have no windows; null ids come before all others in the order of copies;
 rows with the same doc_id and text are one document; of several matches in one document the first stays; a very
