@@ -348,9 +348,26 @@ def _graph(context: SparkContext, base_uri: str | None, bflc: bool, use_control_
     return F.concat(*_Graph(base_uri, bflc, use_control_number).passes())
 
 
+def graphs(records: DataFrame, base_uri: str | None = None, bflc: bool = True, use_control_number: bool = True) -> DataFrame:
+    """(rec_id, graph), the graph built once for each record; an explode of the expression itself would build it again to test its size."""
+    return E.once(records.select("rec_id", "leader", "control", "fields"), graph=graph(base_uri, bflc, use_control_number)).select("rec_id", "graph")
+
+
+def objects_in(graph: Column, p: str, test: Callable[[Column], Column] | None = None) -> Column:
+    """A graph's triples with a property, in order."""
+    return F.filter(graph, lambda t: (t["p"] == p) if test is None else (t["p"] == p) & test(t))
+
+
+def nodes_in(graphs_: DataFrame, link: str, make: Callable[[Callable[[str], Column]], list[Column]]) -> DataFrame:
+    """One row for each node with triples that a property leads to, within records; make gets of(p): the greatest object of the node."""
+    rows = graphs_.select("rec_id", "graph", F.explode(F.array_distinct(objects_in(F.col("graph"), link)["o"])).alias("s"))
+    rows = E.once(rows.select("rec_id", "s", "graph"), own=F.filter("graph", lambda t: t["s"] == F.col("s"))).where(F.size("own") > 0)
+    return rows.select("rec_id", *make(lambda p: F.array_max(objects_in(F.col("own"), p)["o"])))
+
+
 def to_bibframe(records: DataFrame, base_uri: str | None = None, bflc: bool = True, use_control_number: bool = True) -> DataFrame:
-    """Records as a table of triples (schema TRIPLE): one generator, no shuffle; seq is the place in the record's graph."""
-    rows = records.select("rec_id", F.posexplode(graph(base_uri, bflc, use_control_number)).alias("seq", "t"))
+    """Records as a table of triples (schema TRIPLE): no shuffle; seq is the place in the record's graph."""
+    rows = graphs(records, base_uri, bflc, use_control_number).select("rec_id", F.posexplode("graph").alias("seq", "t"))
     kind = lambda c: F.when(c.startswith("_:"), "blank").otherwise("uri")
     made = rows.select("rec_id", "seq", "t.s", kind(F.col("t.s")).alias("s_kind"), "t.p", "t.o", F.when(F.col("t.literal"), "literal").otherwise(kind(F.col("t.o"))).alias("o_kind"), "t.lang", F.lit(None).cast("string").alias("datatype"))
     return made.select(*[x.split()[0] for x in TRIPLE.split(", ")])
