@@ -393,17 +393,30 @@ def to_ntriples(s: str = "s", p: str = "p", o: str = "o", o_kind: str = "o_kind"
 _LINE = r'(?s)^\s*(_:\S+|<[^>]*>)\s+<([^>]*)>\s+(_:\S+|<[^>]*>|"(?:[^"\\]|\\.)*")(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\s*\.\s*$'
 
 
-def from_ntriples(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The triples of N-Triples lines, other columns kept; lines that are no triple (blank, comments) give no row."""
-    part = lambda i: F.regexp_extract(F.col(line), _LINE, i)
+#: between the parts of a line that is taken apart; lines that hold it are taken apart part by part
+_BETWEEN = "\ue000"
+
+
+def _line_parts(line: Column) -> Column:
+    """The five groups of _LINE, by one match; null where there is none."""
+    each = F.when(line.rlike(_LINE), F.array(*[F.regexp_extract(line, _LINE, i) for i in range(1, 6)]))
+    at_once = F.split(F.regexp_replace(line, _LINE, _BETWEEN.join(f"${i}" for i in range(1, 6))), _BETWEEN, -1)
+    return F.when(line.contains(_BETWEEN), each).otherwise(E.let(at_once, lambda x: F.when(F.size(x) == 5, x)))
+
+
+def from_ntriples(lines: DataFrame, line: str = "line", keep_unread: bool = False) -> DataFrame:
+    """The triples of N-Triples lines, other columns kept; lines that are no triple (blank, comments) give no row, or one of nulls."""
+    part = lambda i: F.get("q_parts", F.lit(i - 1))
     bare = lambda c: F.when(c.startswith("<"), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-    rows = lines.where(F.col(line).rlike(_LINE)).withColumns({"q_s": part(1), "p": part(2), "q_o": part(3), "lang": F.nullif(part(4), F.lit("")), "datatype": F.nullif(part(5), F.lit(""))})
+    rows = E.once(lines, q_parts=_line_parts(F.col(line)))
+    rows = rows if keep_unread else rows.where("q_parts IS NOT NULL")
+    rows = rows.withColumns({"q_s": part(1), "p": part(2), "q_o": part(3), "lang": F.nullif(part(4), F.lit("")), "datatype": F.nullif(part(5), F.lit(""))}).drop("q_parts")
     literal = F.col("q_o").startswith('"')
     text = F.substring("q_o", F.lit(2), F.length("q_o") - 2)
     hidden = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
     for mark, name in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         hidden = F.replace(hidden, F.lit(name), F.lit(mark))
-    kind = lambda c: F.when(c.startswith("_:"), "blank").otherwise("uri")
+    kind = lambda c: F.when(c.startswith("_:"), "blank").when(c.isNotNull(), "uri")
     rows = rows.withColumns({"s": bare(F.col("q_s")), "s_kind": kind(F.col("q_s")), "o": F.when(literal, F.replace(hidden, F.lit("\x00"), F.lit("\\"))).otherwise(bare(F.col("q_o"))), "o_kind": F.when(literal, "literal").otherwise(kind(F.col("q_o")))})
     return rows.drop("q_s", "q_o", line)
 
