@@ -280,8 +280,8 @@ def parse_fast(raw: Column) -> Column:
     return E.let(F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).otherwise(F.array().cast("array<struct<tag string, length int, start int, body string>>")), made)
 
 
-def parse(frames: DataFrame, kind: str = "bib", mode: str = "permissive", validation: str = "structural", keep_raw: bool = False) -> DataFrame:
-    """Framed bytes (rec_id, source, rec_index, byte_offset, raw) as records; one scan, no shuffle.
+def parse(frames: DataFrame, kind: str = "bib", mode: str = "permissive", validation: str = "structural", keep_raw: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Framed bytes (rec_id, source, rec_index, byte_offset, raw) as records; one scan, no shuffle; keep: other columns that stay.
 
     Strict: a record that can't be read fails the job.  Permissive: it is a row with its errors.  Tails of
     under 24 bytes are the end of a file and give no row.
@@ -298,7 +298,7 @@ def parse(frames: DataFrame, kind: str = "bib", mode: str = "permissive", valida
         pick = lambda name: F.col(f"q_slow.{name}")
         errors = F.col("q_slow.errors")
     out = ["rec_id", F.lit(kind).alias("kind"), "source", "rec_index", "byte_offset", *[pick(n).alias(n) for n in ("leader", "control", "fields")], errors.alias("errors")]
-    return rows.select(*out, *(["raw"] if keep_raw else []))
+    return rows.select(*out, *(["raw"] if keep_raw else []), *keep)
 
 
 def parse_from_bytes(raw: Column, kind: str = "bib", mode: str = "strict", validation: str = "structural") -> Column:
@@ -348,9 +348,9 @@ def encode(kind: str = "bib", leader: str | Column = "leader", control: str | Co
     return E.let(parts, made)
 
 
-def encoded(records: DataFrame, kind: str = "bib", mode: str = "strict") -> DataFrame:
-    """(rec_id, raw, error).  Strict: a record that does not fit fails the job."""
-    rows = records.select("rec_id", E.let(encode(kind), lambda x: x).alias("e")).select("rec_id", "e.raw", "e.error")
+def encoded(records: DataFrame, kind: str = "bib", mode: str = "strict", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rec_id, raw, error) and the columns of keep.  Strict: a record that does not fit fails the job."""
+    rows = records.select("rec_id", *keep, E.let(encode(kind), lambda x: x).alias("e")).select("rec_id", *keep, "e.raw", "e.error")
     return rows.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw")).otherwise(F.raise_error("error").cast("binary"))) if mode == "strict" else rows
 
 
