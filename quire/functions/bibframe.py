@@ -349,7 +349,7 @@ def _graph(context: SparkContext, base_uri: str | None, bflc: bool, use_control_
 
 
 def graphs(records: DataFrame, base_uri: str | None = None, bflc: bool = True, use_control_number: bool = True) -> DataFrame:
-    """(rec_id, graph), the graph built once for each record; an explode of the expression itself would build it again to test its size."""
+    """(rec_id, graph): a record's graph as a built column, which later expressions read."""
     return E.once(records.select("rec_id", "leader", "control", "fields"), graph=graph(base_uri, bflc, use_control_number)).select("rec_id", "graph")
 
 
